@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import line_dedup, mixing, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_mixing": mixing.op10_mixing}
+    return {
+        "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_secrets": secrets.op4_secrets,
+        "op5_packing": packing.op5_packing,
+        "op10_mixing": mixing.op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.OP10_SQL}
+    return {"op3_line_dedup": line_dedup.OP3_SQL, "op10_mixing": mixing.OP10_SQL}
