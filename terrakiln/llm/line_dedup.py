@@ -205,6 +205,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: in
     return joined.mapInArrow(_drop(text_at, schema.names), schema).toDF(*names, "n_lines", "n_dropped")
 
 
+def with_length(done: DataFrame, names: list[str]) -> DataFrame:
+    """dedup_lines' rows with the columns `names` only; n_chars, if among them, is the length of a text that lost lines."""
+    length = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in names else None
+    return done.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in names])
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
