@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bucketed, stored
 
 TOKENS = 1_500_000
 SCHEMA = "block long, doc_ids array<long>, digests array<binary>, sizes binary, tokens binary, words binary"
@@ -61,9 +61,43 @@ def _build(limit: int):
     return run
 
 
-def build(docs: DataFrame, limit: int = TOKENS) -> DataFrame:
-    """The blocks of docs (doc_id, text, ...), A-Z lower-cased, as a table in the shared folder."""
-    return stored(docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(_build(limit), SCHEMA))
+def build(docs: DataFrame, limit: int = TOKENS, by_block: bool = False) -> DataFrame:
+    """The blocks of docs (doc_id, text, ...), A-Z lower-cased, as a table in the shared folder; by_block: bucketed by
+    block, so that later passes bring answers to blocks without moving the blocks."""
+    made = docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(_build(limit), SCHEMA)
+    return bucketed(made, "block") if by_block else stored(made)
+
+
+_squeeze = zstandard.ZstdCompressor(level=1)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, squeezed: planes of small numbers vanish."""
+    raw = np.ascontiguousarray(values)
+    return _squeeze.compress(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes() if len(raw) else b"")
+
+
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel() if raw else np.zeros(0, kind)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending distinct 64-bit keys, as differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed, np.uint64), dtype=np.uint64)
+
+
+def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of distinct keys by shard and key, and (shard, from, to)."""
+    shard = (keys >> np.uint64(40)) % np.uint64(shards)
+    order = np.lexsort((keys, shard))
+    which, start = np.unique(shard[order], return_index=True)
+    return order, list(zip(which.tolist(), start.tolist(), [*start[1:].tolist(), len(order)], strict=True))
 
 
 class Block:

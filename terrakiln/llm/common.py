@@ -35,17 +35,30 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As settle(), as a Parquet table: later reads prune columns. The table goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terrakiln-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As stored(), dealt by key into as many buckets as there are shuffle partitions: grouping by key moves nothing."""
+    spark = df.sparkSession
+    name = f"terrakiln_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(parts(spark), key).option("path", path).format("parquet").saveAsTable(name)
+    _delete_on_exit(spark, path)
+    return spark.table(name)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df (already settled) with a broadcast hint if it has at most `rows` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df

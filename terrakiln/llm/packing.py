@@ -24,11 +24,11 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +37,11 @@ from .common import parts, settle, table
 SIZE, GRAIN, END_ID = 2048, 8, 1
 #: Encoded parts that a worker remembers.
 REMEMBER = 300_000
-_RARE = re.compile("[^\t\n\r -~\xa0-ɏΑ-ΡΣ-ώЀ-џ‐-‧€]")
+#: Characters whose kinds all versions of Unicode agree on: white space, letters, numbers, others. With these, PARTS
+#: splits as the tokenizer's own pattern does.
+_SPACE, _LETTER, _NUMBER = "\t\n\r \xa0", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_RARE = re.compile("[^\t\n\r -~\xa0-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u20ac]")
+PARTS = re.compile(f" ?[{_LETTER}]+|'(?:[sdmt]|ll|ve|re)| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -54,22 +58,22 @@ class Encoder:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.parts = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         if _RARE.search(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts, known = self.parts(text), self.known
+        parts = PARTS.findall(text)
         try:
-            return b"".join([known[p] for p in parts])
+            return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
-            if len(known) > REMEMBER:
-                known.clear()
-            for p in set(parts):
-                if p not in known:
-                    known[p] = np.array(self.plain.encode_ordinary(p), "<u4").tobytes()
-            return b"".join([known[p] for p in parts])
+            if len(self.known) > REMEMBER:  # parts that are in use come back from the older half
+                self.known, self.older = {}, self.known
+            known, older, encode = self.known, self.older, self.plain._encode_single_piece
+            for p in {*parts}.difference(known):
+                known[p] = older.get(p) or array("I", encode(p)).tobytes()
+            return b"".join(map(known.__getitem__, parts))
 
 
 def encoder(path: str, ranks_path: str) -> Encoder:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, langid, line_dedup, mixing, near_dups, neighbours, packing, quality, secrets
+from . import html_text, langid, line_dedup, mixing, near_dups, neighbours, packing, quality, secrets, suffix_tree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_tree": suffix_tree.op1_suffix_tree,
         "op2_html_text": html_text.op2_html_text,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_secrets": secrets.op4_secrets,
