@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..operators import crop as C
 from ..operators import models as M
 from ..operators import selection as S
+from ..recon import planes as P
 from . import views as V
 
 
@@ -97,11 +98,15 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return routing(spark, d).groupBy("pc", "mode").agg(F.count("*").alias("n"))
 
 
+def roof_planes(spark: SparkSession, d: str) -> DataFrame:
+    return P.roof_planes(_cropped(spark, d).where("inside AND cls = 6"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         crop_counts, cell_bands, building_stats, thinned, tiles, areas, z98, mutations, selection, terrain_source, terrain_grid, terrain_triangles, ground_height,
-        routing, prism_measures, prism_faces, status_counts,
+        routing, prism_measures, prism_faces, status_counts, roof_planes,
     )
 }
 

@@ -24,7 +24,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+@pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_query_equals_sql(spark, duck, name):
     got, expected = Q.QUERIES[name](spark, DATA).toPandas(), duck.execute(Q.SQL[name]).df()
     columns = sorted(got.columns)
