@@ -98,6 +98,22 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return routing(spark, d).groupBy("pc", "mode").agg(F.count("*").alias("n"))
 
 
+def attributes(spark: SparkSession, d: str) -> DataFrame:
+    """A row per building, with the figures of each acquisition as columns; the acquisitions are configuration."""
+    names = [pc for pc, *_ in V.SOURCES]
+    wide = _stats(spark, d).groupBy("fid").pivot("pc", names).agg(F.first("density").alias("density"), F.first("nodata").alias("nodata"), F.first("roof").alias("roof"))
+    return wide.select("fid", *[F.col(f"{pc}_{k}").alias(f"tk_{k}_{pc.lower()}") for pc in names for k in ("density", "nodata", "roof")])
+
+
+def overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Points within the buffers of several buildings go to the nearest ground level: the one with the most points, then the
+    smaller id. Counts by building."""
+    near = _cropped(spark, d).where("cls = 2")
+    size = near.groupBy("fid").agg(F.count("*").alias("n"))
+    best = near.join(size, "fid").groupBy("pc", "x", "y", "z", "yr").agg(F.max(F.struct("n", (-F.col("fid")).alias("k"))).alias("b"))
+    return best.groupBy((-F.col("b.k")).alias("fid")).agg(F.count("*").alias("n_points"))
+
+
 def roof_planes(spark: SparkSession, d: str) -> DataFrame:
     return P.roof_planes(_cropped(spark, d).where("inside AND cls = 6"))
 
@@ -106,7 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         crop_counts, cell_bands, building_stats, thinned, tiles, areas, z98, mutations, selection, terrain_source, terrain_grid, terrain_triangles, ground_height,
-        routing, prism_measures, prism_faces, status_counts, roof_planes,
+        routing, prism_measures, prism_faces, status_counts, attributes, overlap, roof_planes,
     )
 }
 
@@ -191,5 +207,9 @@ SQL: dict[str, str] = {
     "prism_faces": _with() + """SELECT fid, 0 AS face, 0 AS label, 180.0::DOUBLE AS slope, NULL::DOUBLE AS azimuth FROM footprint UNION ALL
         SELECT fid, 1, 1, 0.0::DOUBLE, NULL FROM footprint UNION ALL
         SELECT fid, i + 2, 2, 90.0::DOUBLE, CASE WHEN y2 > y1 THEN 90.0 WHEN y2 < y1 THEN 270.0 WHEN x2 > x1 THEN 180.0 ELSE 0.0 END::DOUBLE FROM edges""",
+    "attributes": _with(_CELLS, _STATS) + "SELECT fid, " + ", ".join(f"max({k}) FILTER (WHERE pc = '{pc}') AS tk_{k}_{pc.lower()}" for pc in "ANR" for k in ("density", "nodata", "roof")) + " FROM stats GROUP BY fid",
+    "overlap": _with() + """, size AS (SELECT fid, count(*) AS n FROM cropped WHERE cls = 2 GROUP BY fid),
+        best AS (SELECT DISTINCT ON (pc, x, y, z, yr) fid FROM cropped JOIN size USING (fid) WHERE cls = 2 ORDER BY pc, x, y, z, yr, n DESC, fid)
+        SELECT fid, count(*) AS n_points FROM best GROUP BY fid""",
     "status_counts": _with(_CELLS, _STATS, _MODES) + "SELECT pc, mode, count(*) AS n FROM modes GROUP BY pc, mode",
 }
