@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-PAGES, SEED = 180, 11
+PAGES, SEED = 320, 11
 _SYLLABLES = "an ba co de el fi go hu in jo ka le mi no or pa qui re so ta un ver wo ya zi tion ment ing able".split()
 _LINKS = "Home About News Sports Contact Archive Login Shop Help Blog Events Team Jobs Privacy Terms Map".split()
 
@@ -97,13 +97,15 @@ class _Page:
 
     def block(self) -> str:
         r = self.r
-        kind = r.choice(["p"] * 10 + ["short", "h2", "list", "quote", "table", "pre", "open", "bold"])
+        kind = r.choice(["p"] * 10 + ["short", "h2", "list", "list", "quote", "table", "pre", "open", "bold"])
         if kind == "short":
             return f"<p>{self.main(_sentence(r, r.randint(1, 4)))}</p>"
         if kind == "h2":
             return f"<h{(k := r.choice('234'))}>{self.main(_sentence(r, r.randint(2, 7)))}</h{k}>"
         if kind == "list":
-            return "<ul>" + "".join(f"<li>{self.inline(self.main(_sentence(r)))}{r.choice(['</li>', ''])}" for _ in range(r.randint(2, 5))) + "</ul>"
+            brief = r.random() < 0.5
+            items = (_sentence(r, r.randint(1, 4)).rstrip(".!?") if brief else _sentence(r) for _ in range(r.randint(1, 6)))
+            return f"<{(k := r.choice(['ul', 'ul', 'ol']))}>" + "".join(f"<li>{self.inline(self.main(x))}{r.choice(['</li>', ''])}" for x in items) + f"</{k}>"
         if kind == "quote":
             return f"<blockquote><p>{self.main(_prose(r, 3))}</p></blockquote>"
         if kind == "table":
@@ -119,7 +121,7 @@ class _Page:
     def build(self) -> str:
         r = self.r
         title = _sentence(r, r.randint(1, 9))
-        body = "".join(self.block() + (self.noise() if r.random() < 0.05 else "") for _ in range(r.choice([0, 1, 2, 4, 8, 14, 25])))
+        body = "".join(self.block() + (self.noise() if r.random() < 0.05 else "") for _ in range(r.choice([0, 0, 1, 1, 2, 3, 5, 9, 16])))
         heading = f"<h1>{self.main(title)}</h1>" if r.random() < 0.85 else ""
         if not body and not heading:
             heading = f"<h1>{self.main(title)}</h1>"

@@ -31,7 +31,7 @@ from . import html_pages
 from .common import table
 
 MAX_DEPTH = 200
-TREES, DEPTH, RATE, BINS, LEAST = 30, 4, 0.3, 24, 4.0
+TREES, DEPTH, RATE, BINS, LEAST = 40, 4, 0.3, 24, 4.0
 #: Pages whose nodes are judged together.
 TOGETHER = 128
 
