@@ -25,13 +25,12 @@ from pyspark.sql import functions as F
 from .common import bucketed, stored
 
 TOKENS = 1_500_000
-SCHEMA = "block long, doc_ids array<long>, digests array<binary>, sizes binary, tokens binary, words binary"
+SCHEMA = "block long, n_words long, doc_ids array<long>, digests array<binary>, sizes binary, tokens binary, words binary"
 
 
 def _build(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def fresh():
             return defaultdict(itertools.count().__next__), array("i"), [], [], array("i")
@@ -40,9 +39,9 @@ def _build(limit: int):
 
         def flush() -> pa.RecordBatch:
             words = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
-            values = [[uid], [ids], [digests], [sizes.tobytes()], [squeeze(tokens.tobytes())], [words.tobytes()]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "doc_ids", "digests", "sizes", "tokens", "words"])
+            values = [[uid], [len(tokens)], [ids], [digests], [sizes.tobytes()], [pack(np.frombuffer(tokens, np.int32))], [words.tobytes()]]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "n_words", "doc_ids", "digests", "sizes", "tokens", "words"])
 
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -94,7 +93,9 @@ def unpack_keys(packed: bytes) -> np.ndarray:
 
 def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order of distinct keys by shard and key, and (shard, from, to)."""
-    shard = (keys >> np.uint64(40)) % np.uint64(shards)
+    if not len(keys):
+        return np.zeros(0, np.int64), []
+    shard = keys % np.uint64(shards)
     order = np.lexsort((keys, shard))
     which, start = np.unique(shard[order], return_index=True)
     return order, list(zip(which.tolist(), start.tolist(), [*start[1:].tolist(), len(order)], strict=True))
@@ -107,7 +108,7 @@ class Block:
         self.id = row["block"]
         self.doc_ids, self.digests = row["doc_ids"], row["digests"]
         self.sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
-        self.tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"], max_output_size=4 * int(self.sizes.sum()) + 4), np.int32)
+        self.tokens = unpack(row["tokens"], np.int32)
         self.words = np.frombuffer(row["words"], np.uint64)
         self.ends = np.cumsum(self.sizes)
 
@@ -122,16 +123,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def deal(block: int, keys: np.ndarray, values: dict[str, np.ndarray], shards: int) -> Iterator[dict]:
-    """Rows shard, block, keys and the values' bytes; keys are distinct."""
-    shard = (keys >> np.uint64(40)) % np.uint64(shards)
-    order = np.lexsort((keys, shard))
-    which, start = np.unique(shard[order], return_index=True)
-    for s, a, b in zip(which.tolist(), start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
-        at = order[a:b]
-        yield {"shard": int(s), "block": block, "keys": keys[at].tobytes()} | {k: v[at].tobytes() for k, v in values.items()}
-
-
 def per_block(frame: DataFrame, f, schema: str) -> DataFrame:
     """f(Block) -> rows (dicts), for each block."""
 
@@ -147,7 +138,7 @@ def per_block(frame: DataFrame, f, schema: str) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
 
 
 def _arrow_schema(schema: str) -> pa.Schema:
@@ -176,6 +167,6 @@ def with_answers(frame: DataFrame, answers: DataFrame, f, schema: str) -> DataFr
 
 
 def members(frame: DataFrame) -> DataFrame:
-    """doc_id, digest (of its words) of each document."""
+    """doc_id, digest (of its words), block of each document."""
     both = F.explode(F.arrays_zip("doc_ids", "digests")).alias("x")
-    return frame.select(both).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.digests").alias("digest"))
+    return frame.select("block", both).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.digests").alias("digest"), "block")

@@ -5,13 +5,14 @@ count in the document times 1 + IDF * ln(N / df) / ln(N): N documents, df of the
 in one of a thousand copies, a rare shingle among very common ones, weighs a little more than what it replaced, not
 many times more.
 
-1. Blocks send their distinct shingles with document counts to shards, which answer with those of df > 1.
+1. Blocks send their distinct shingles with document counts to shards, which answer with those of df > 1 (blocks.py).
 2. Only shingles of df > 1 can be shared. A document whose share of weight in them is under THRESHOLD has no partner
    (weighted Jaccard similarity is at most that share) and needs no sketch.
 3. The others get BANDS * ROWS consistent weighted samples (Ioffe 2010). Documents of one word sequence are one node.
-4. In a bucket of a band, all nodes are verified against the least one, by their whole shingle weights. Those under the
-   threshold form the bucket again, without it, until buckets of at most SMALL are left, which are verified pair by pair
-   after a look at their sketches. No bucket is too large, and no bucket's pairs are all made.
+4. In a bucket of a band, all nodes are verified against the least one, by their whole shingle weights; those that pass
+   are connected. Each of the others is compared by sketch with all nodes of the bucket, in chunks of CHUNK, and verified
+   against the TRIES likest of each chunk that the sketches don't rule out (4 standard deviations under THRESHOLD). So a
+   link between a node that passed and one that did not is found without making the bucket's pairs.
 5. Links between nodes make classes (connected components). class_id is the least doc_id of a class.
 
 Defined cases: null and empty texts have no shingle and are one class; repeated rows are of one class; a null doc_id is
@@ -34,7 +35,9 @@ from .components import components
 
 SHINGLE, THRESHOLD, IDF = 5, 0.8, 0.2
 BANDS, ROWS = 16, 4
-SMALL = 24
+#: For counting documents, shingles keep so many bits more than their number takes: one in 2 ** SPARE is taken for another.
+SPARE = 18
+CHUNK, TRIES = 4096, 16
 _ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5 % (1 << 64) | 1) for i in range(16)]
 _K = BANDS * ROWS
 _SEED = [B.mix64(np.arange(1 + j * _K, 1 + (j + 1) * _K, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) for j in range(3)]
@@ -98,58 +101,90 @@ def _own_shingles(block: B.Block) -> tuple[list[tuple[bytes, int]], list[np.ndar
     return texts, [shingles(hashed[slice(*first[d])]) for d, _ in texts]
 
 
-def _requests(shards: int):
+ASKED = "shard int, block long, keys binary, df binary"
+SAID = "block long, shard int, at binary, df binary, gone array<binary>"
+FEATURES = "digest binary, bands array<long>, sketch binary, keys binary, weights binary"
+
+
+def _frequencies(texts: list[tuple[bytes, int]], own: list[np.ndarray], drop: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's distinct shingles, without their `drop` lowest bits, and how many of its documents hold each."""
+    distinct = [np.unique(s >> np.uint64(drop)) for s in own]
+    keys, where = np.unique(np.concatenate(distinct), return_inverse=True)
+    return keys, np.bincount(where, np.repeat([n for _, n in texts], list(map(len, distinct)))).astype(np.int32)
+
+
+def _requests(shards: int, drop: int):
     def f(block: B.Block) -> Iterator[dict]:
         texts, own = _own_shingles(block)
         if texts:
-            distinct = [np.unique(s) for s in own]
-            keys, where = np.unique(np.concatenate(distinct), return_inverse=True)
-            df = np.bincount(where, np.repeat([n for _, n in texts], list(map(len, distinct)))).astype(np.int64)
-            yield from B.deal(block.id, keys, {"df": df.astype(np.int32)}, shards)
+            keys, df = _frequencies(texts, own, drop)
+            order, spans = B.by_shard(keys, shards)
+            for shard, a, b in spans:
+                at = order[a:b]
+                yield {"shard": shard, "block": block.id, "keys": B.pack_keys(keys[at] // np.uint64(shards)), "df": B.pack(df[at])}
 
     return f
 
 
 def _document_frequency(rows: list[dict]) -> Iterator[dict]:
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+    keys = [B.unpack_keys(r["keys"]) for r in rows]
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
-    df = np.bincount(where, np.concatenate([np.frombuffer(r["df"], np.int32) for r in rows]))[where].astype(np.int32)
-    ends = np.cumsum(list(map(len, keys)))
-    for r, k, b in zip(rows, keys, ends.tolist(), strict=True):
-        own = df[b - len(k) : b]
-        if (own > 1).any():
-            yield {"block": r["block"], "keys": k[own > 1].tobytes(), "df": own[own > 1].tobytes()}
+    df = np.bincount(where, np.concatenate([B.unpack(r["df"], np.int32) for r in rows]))[where].astype(np.int32)
+    a = 0
+    for r, k in zip(rows, keys, strict=True):
+        own = df[a : a + len(k)]
+        at = np.flatnonzero(own > 1).astype(np.int32)
+        yield {"block": r["block"], "shard": r["shard"], "at": B.pack(at), "df": B.pack(own[at]), "gone": None}
+        a += len(k)
 
 
-def _sketch(n: int, threshold: float):
+def _sketch(shards: int, drop: int, n: int, threshold: float):
     def f(block: B.Block, said: list[dict]) -> Iterator[dict]:
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in said] or [np.zeros(0, np.uint64)])
-        df = np.concatenate([np.frombuffer(r["df"], np.int32) for r in said] or [np.zeros(0, np.int32)])
-        order = np.argsort(keys)
-        keys, df = keys[order], df[order]
-        if not len(keys):
-            return
         texts, own = _own_shingles(block)
+        if not texts:
+            return
+        keys, _ = _frequencies(texts, own, drop)
+        df = np.ones(len(keys), np.int64)
+        order, spans = B.by_shard(keys, shards)
+        start = {shard: a for shard, a, _ in spans}
+        gone: set[bytes] = set()
+        for r in said:
+            if r["gone"] is None:
+                df[order[start[r["shard"]] + B.unpack(r["at"], np.int32)]] = B.unpack(r["df"], np.int32)
+            else:
+                gone.update(r["gone"])
         for (digest, _), s in zip(texts, own, strict=True):
+            if digest in gone:
+                continue
             k, tf = np.unique(s, return_counts=True)
-            at = np.searchsorted(keys, k)
-            at[at == len(keys)] = 0
-            known = keys[at] == k
-            w = tf * weight(np.where(known, df[at], 1), n)
-            if w[known].sum() >= (threshold - 1e-9) * w.sum():
+            held = df[np.searchsorted(keys, k >> np.uint64(drop))]
+            w = tf * weight(held, n)
+            if w[held > 1].sum() >= (threshold - 1e-9) * w.sum():
                 drawn = sample(k, w)
                 bands = B.mix64((drawn.reshape(BANDS, ROWS) * np.array(_ODD[:ROWS])).sum(1) + np.arange(BANDS, dtype=np.uint64))
-                yield {"digest": digest, "bands": bands.view(np.int64).tolist(), "sketch": (drawn & np.uint64(255)).astype(np.uint8).tobytes(), "keys": k.tobytes(), "weights": w.astype(np.float32).tobytes()}
+                yield {"digest": digest, "bands": bands.view(np.int64).tolist(), "sketch": (drawn & np.uint64(255)).astype(np.uint8).tobytes(), "keys": k.tobytes(), "weights": B.pack(w.astype(np.float32))}
 
     return f
 
 
+def _elsewhere(member: DataFrame) -> DataFrame:
+    """block, digests that an earlier block holds as well and answers for."""
+    pairs = settle(member.select("digest", "block").distinct())
+    first = settle(pairs.groupBy(F.col("digest").alias("_d")).agg(F.min("block").alias("first"), F.max("block").alias("last")).where("first < last"))
+    later = pairs.join(first, F.col("digest") == F.col("_d")).where("block > first")
+    return later.groupBy("block").agg(F.collect_list("digest").alias("gone"))
+
+
+def _feature(keys: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, np.uint64), B.unpack(weights, np.float32).astype(float)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """u, v, keys, weights, keys2, weights2 -> u, v, similarity."""
     for batch in batches:
         found = []
         for ka, wa, kb, wb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-            found.append(jaccard((np.frombuffer(ka, np.uint64), np.frombuffer(wa, np.float32).astype(float)), (np.frombuffer(kb, np.uint64), np.frombuffer(wb, np.float32).astype(float))))
+            found.append(jaccard(_feature(ka, wa), _feature(kb, wb)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["u", "v", "similarity"])
 
 
@@ -161,62 +196,57 @@ def verify(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return both.select("u", "v", "keys", "weights", "keys2", "weights2").mapInArrow(_verified, "u binary, v binary, similarity double")
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bucket, nodes (array of digest and sketch) -> u, v: pairs of a small bucket whose sketches don't rule them out."""
+def _alike(members: pa.Table, odd: pa.Table) -> pa.Table:
+    """u, v: for each odd node of a bucket, the TRIES nodes of the chunk with the likest sketches that don't rule it out."""
     least = (THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / _K)) * _K
-    for batch in batches:
-        us, vs = [], []
-        for nodes in batch.column(0).to_pylist():
-            nodes = sorted((x["node"], np.frombuffer(x["sketch"], np.uint8)) for x in {x["node"]: x for x in nodes}.values())
-            for i, (u, a) in enumerate(nodes):
-                for v, b in nodes[:i]:
-                    if (a == b).sum() >= least:
-                        us.append(u)
-                        vs.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+    us, vs = [], []
+    if members.num_rows and odd.num_rows:
+        nodes = members.column("node").to_pylist()
+        sketches = np.frombuffer(b"".join(members.column("sketch").to_pylist()), np.uint8).reshape(-1, _K)
+        for u, sketch in zip(odd.column("_node").to_pylist(), odd.column("_sketch").to_pylist(), strict=True):
+            same = (sketches == np.frombuffer(sketch, np.uint8)).sum(1)
+            at = np.flatnonzero(same >= least)
+            likest = at[np.lexsort((at, -same[at]))][: TRIES + 1].tolist()
+            for i in [i for i in likest if nodes[i] != u][:TRIES]:
+                us.append(max(u, nodes[i]))
+                vs.append(min(u, nodes[i]))
+    return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
 
 
 def links(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """u, v: verified pairs of nodes, enough to connect every class that the buckets show."""
-    slim = features.select("digest", "sketch", F.explode("bands").alias("bucket"))
-    rows = settle(slim.select("bucket", F.col("digest").alias("node"), "sketch"))
-    found: list[DataFrame] = []
-    known = None
-    while True:
-        heads = settle(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").withColumnRenamed("bucket", "_bucket"))
-        little = found and F.col("n") <= SMALL  # the first round is for all buckets
-        joined = rows.join(heads, F.col("bucket") == F.col("_bucket")).drop("_bucket")
-        if found:
-            tail = joined.where(little).groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch")).alias("nodes"))
-            found.append(settle(verify(tail.select("nodes").mapInArrow(_alike, "u binary, v binary").distinct(), features).where(F.col("similarity") >= threshold)))
-            joined = joined.where(~little)
-        joined = settle(joined.where("node <> head"))
-        pairs = joined.select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select(F.col("u").alias("_u"), F.col("v").alias("_v")), (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
-        judged = settle(verify(pairs, features))
-        known = judged if known is None else settle(known.union(judged))
-        found.append(judged.where(F.col("similarity") >= threshold))
-        over = known.where(F.col("similarity") >= threshold).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-        rows = settle(joined.join(over, (F.col("node") == F.col("_u")) & (F.col("head") == F.col("_v")), "left_anti").select("bucket", "node", "sketch"))
-        if rows.isEmpty():
-            break
-    out = found[0].select("u", "v")
-    for x in found[1:]:
-        out = out.union(x.select("u", "v"))
-    return out
+    """u, v: verified pairs of nodes that connect the classes which the buckets show."""
+    rows = settle(features.select(F.explode("bands").alias("bucket"), F.col("digest").alias("node"), "sketch"))
+    heads = settle(rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"))
+    joined = settle(rows.join(heads, F.col("bucket") == F.col("_bucket")).drop("_bucket"))
+    judged = settle(verify(joined.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct(), features))
+    near = judged.where(F.col("similarity") >= threshold).select("u", "v")
+    under = judged.where(F.col("similarity") < threshold).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    odd = settle(joined.join(under, (F.col("node") == F.col("_u")) & (F.col("head") == F.col("_v")), "left_semi").drop("head"))
+    if odd.isEmpty():
+        return near
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    asked = odd.select("bucket", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "node", "sketch")
+    buckets = settle(odd.select(F.col("bucket").alias("_b")).distinct())
+    whole = joined.join(buckets, F.col("bucket") == F.col("_b"), "left_semi")
+    dealt = whole.select("bucket", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node", "sketch")
+    asked = asked.toDF(*[f"_{c}" for c in asked.columns])  # of the same lineage as dealt: names must differ
+    likely = dealt.groupBy("bucket", "chunk").cogroup(asked.groupBy("_bucket", "_chunk")).applyInArrow(_alike, "u binary, v binary").distinct()
+    known = judged.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    fresh = likely.join(known, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
+    return near.union(settle(verify(fresh, features)).where(F.col("similarity") >= threshold).select("u", "v"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id of each row of docs (doc_id, text, ...)."""
-    held = B.build(docs)
+    held = B.build(docs, by_block=True)
     shards = parts(docs.sparkSession)
     member = B.members(held)
     n = member.count()
-    asked = B.per_block(held, _requests(shards), "shard int, block long, keys binary, df binary")
-    answers = B.per_shard(asked, _document_frequency, "block long, keys binary, df binary")
-    sketched = B.with_answers(held, answers, _sketch(n, threshold), "digest binary, bands array<long>, sketch binary, keys binary, weights binary")
-    features = stored(sketched.dropDuplicates(["digest"]))
+    words = held.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    drop = 64 - min(64, max(40, int(words).bit_length() + SPARE))
+    answers = B.per_shard(B.per_block(held, _requests(shards, drop), ASKED), _document_frequency, SAID)
+    gone = _elsewhere(member).select("block", *[F.lit(None).cast(k).alias(c) for c, k in (("shard", "int"), ("at", "binary"), ("df", "binary"))], "gone")
+    features = stored(B.with_answers(held, answers.union(gone), _sketch(shards, drop, n, threshold), FEATURES))
     grouped = components(links(features, threshold))
     # a class is named by the digest that its component has; each document finds it by its own digest
     named = member.join(grouped, F.col("digest") == F.col("node"), "left").select("doc_id", F.coalesce("component", "digest").alias("name"))
