@@ -183,9 +183,12 @@ def plan_slots(histogram: dict[int, int], size: int = SIZE, grain: int = GRAIN)
         first[length] = demand[k]
         demand[k] += histogram[length]
     left, slots, sequence = demand.copy(), [], 0
-    for counts, often in sorted(column_generation(demand, room), key=lambda p: (-p[1], p[0].tolist())):
+    patterns = sorted(column_generation(demand, room), key=lambda p: (-p[1], p[0].tolist()))
+    # rounded down; then once more where enough pieces are left, those that lost most first
+    rounds = [(c, int(often + 1e-6)) for c, often in patterns] + [(c, 1) for c, often in sorted(patterns, key=lambda p: (-(p[1] % 1), p[0].tolist()))]
+    for counts, often in rounds:
         at = np.flatnonzero(counts)
-        times = min(int(often + 1e-6), *(int(left[k] // counts[k]) for k in at))
+        times = min(often, *(int(left[k] // counts[k]) for k in at))
         if times <= 0:
             continue
         for k in at:
