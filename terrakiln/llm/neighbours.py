@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 K, DIMS, CONFIDENCE = 5, 8, 0.99
-BLOCK, CHUNK, LEAF, SEED = 8192, 20_000, 32, 5
+BLOCK, CHUNK, LEAF, SEED = 8192, 20_000, 256, 5
+#: How far a score by matrix product can be from the exact one.
+SLACK = 1e-9
 
 
 def chi_square(x: float, m: int) -> float:
@@ -80,13 +82,13 @@ class Tree:
         return float(off @ off)
 
     def leaves(self, q: np.ndarray):
-        """(squared distance at least, points of a leaf), by growing distance."""
+        """(squared distance at least, from, to: a leaf's points in self.order), by growing distance."""
         heap = [(self.distance(0, q), 0)]
         while heap:
             d, i = heapq.heappop(heap)
             a, b = self.spans[i]
             if b - a <= self.leaf:
-                yield d, self.order[a:b]
+                yield d, a, b
             else:
                 for j in (2 * i + 1, 2 * i + 2):
                     heapq.heappush(heap, (self.distance(j, q), j))
@@ -105,20 +107,25 @@ class Index:
         self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
         self.directions = projection(vectors.shape[1], dims)
         self.tree = Tree((self.vectors / self.norms[:, None]) @ self.directions)
+        order = self.tree.order  # a leaf's vectors lie together
+        self.ids, self.vectors, self.norms = [self.ids[i] for i in order.tolist()], self.vectors[order], self.norms[order]
+        self.units = self.vectors / self.norms[:, None]
         self.k, self.bound = k, chi_square_at(CONFIDENCE, dims)
 
     def search(self, own: int, q: np.ndarray) -> list[tuple[float, int]]:
         """(-score, id) of the nearest, nearest first."""
         norm = math.sqrt(float((q * q).sum()))
+        unit = q / norm
         best: list[tuple[float, int]] = []
-        for x, at in self.tree.leaves((q / norm) @ self.directions):
-            if len(best) == self.k and x > self.bound * max(2 + 2 * best[-1][0], 1e-12):
-                break
-            scores = (self.vectors[at] * q).sum(1) / (self.norms[at] * norm)
+        for x, a, b in self.tree.leaves(unit @ self.directions):
             worst = -best[-1][0] if len(best) == self.k else -math.inf
-            for j in np.flatnonzero(scores >= worst).tolist():
-                best += [(-float(scores[j]), i) for i in self.ids[at[j]] if i != own]
-            best = sorted(best)[: self.k]
+            if x > self.bound * max(2 - 2 * worst, 1e-12):
+                break
+            near = a + np.flatnonzero(self.units[a:b] @ unit >= worst - SLACK)
+            if len(near):
+                scores = (self.vectors[near] * q).sum(1) / (self.norms[near] * norm)
+                best += [(-s, i) for s, j in zip(scores.tolist(), near.tolist(), strict=True) for i in self.ids[j] if i != own]
+                best = sorted(best)[: self.k]
         return best
 
 
