@@ -186,8 +186,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes:
     sent = spark.sparkContext.broadcast({r.segment: bytes(r.bits) for r in filters.collect()}) if total <= broadcast_bytes else None
     owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     suspects = stored(docs.select(owner.alias("owner"), "text").mapInArrow(_suspects(segments, min_chars, sent), "key binary, owner long"))
-    firsts = suspects.groupBy(F.col("key").alias("_key")).agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last")
-    losses = suspects.join(firsts, F.col("key") == F.col("_key")).where("owner <> first").select("owner", "key")
+    # settled, so that both sides of the join are plain exchanges: a key in a third of all documents can then be split
+    firsts = settle(suspects.groupBy(F.col("key").alias("_key")).agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last"))
+    losses = settle(suspects.join(firsts, F.col("key") == F.col("_key")).where("owner <> first").select("owner", "key"))
     return losses.mapInArrow(_digests, "owner long, digest binary").groupBy("owner").agg(F.collect_set("digest").alias("digests"))
 
 
