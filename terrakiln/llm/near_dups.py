@@ -10,9 +10,10 @@ many times more.
    (weighted Jaccard similarity is at most that share) and needs no sketch.
 3. The others get BANDS * ROWS consistent weighted samples (Ioffe 2010). Documents of one word sequence are one node.
 4. In a bucket of a band, all nodes are verified against the least one, by their whole shingle weights; those that pass
-   are connected. Each of the others is compared by sketch with all nodes of the bucket, in chunks of CHUNK, and verified
-   against the TRIES likest of each chunk that the sketches don't rule out (4 standard deviations under THRESHOLD). So a
-   link between a node that passed and one that did not is found without making the bucket's pairs.
+   are connected. Each of the others that no other bucket has connected with that head is compared by sketch with all
+   nodes of the bucket, in chunks of CHUNK, and verified against the TRIES likest of each component in the chunk that the
+   sketches don't rule out (4 standard deviations under THRESHOLD). So a link between a node that passed and one that did
+   not is found without making the bucket's pairs.
 5. Links between nodes make classes (connected components). class_id is the least doc_id of a class.
 
 Defined cases: null and empty texts have no shingle and are one class; repeated rows are of one class; a null doc_id is
@@ -37,7 +38,7 @@ SHINGLE, THRESHOLD, IDF = 5, 0.8, 0.2
 BANDS, ROWS = 16, 4
 #: For counting documents, shingles keep so many bits more than their number takes: one in 2 ** SPARE is taken for another.
 SPARE = 18
-CHUNK, TRIES = 4096, 16
+CHUNK, TRIES = 1024, 4
 _ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5 % (1 << 64) | 1) for i in range(16)]
 _K = BANDS * ROWS
 _SEED = [B.mix64(np.arange(1 + j * _K, 1 + (j + 1) * _K, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) for j in range(3)]
@@ -197,43 +198,58 @@ def verify(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def _alike(members: pa.Table, odd: pa.Table) -> pa.Table:
-    """u, v: for each odd node of a bucket, the TRIES nodes of the chunk with the likest sketches that don't rule it out."""
+    """u, v: for each odd node of a bucket and each component but its own, the TRIES nodes of the chunk with the likest
+    sketches that don't rule it out."""
     least = (THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / _K)) * _K
     us, vs = [], []
     if members.num_rows and odd.num_rows:
         nodes = members.column("node").to_pylist()
         sketches = np.frombuffer(b"".join(members.column("sketch").to_pylist()), np.uint8).reshape(-1, _K)
-        for u, sketch in zip(odd.column("_node").to_pylist(), odd.column("_sketch").to_pylist(), strict=True):
+        number: dict[bytes, int] = {}
+        component = np.array([number.setdefault(c, len(number)) for c in members.column("component").to_pylist()])
+        for u, sketch, own in zip(*(odd.column(c).to_pylist() for c in ("_node", "_sketch", "_component")), strict=True):
             same = (sketches == np.frombuffer(sketch, np.uint8)).sum(1)
-            at = np.flatnonzero(same >= least)
-            likest = at[np.lexsort((at, -same[at]))][: TRIES + 1].tolist()
-            for i in [i for i in likest if nodes[i] != u][:TRIES]:
-                us.append(max(u, nodes[i]))
-                vs.append(min(u, nodes[i]))
+            at = np.flatnonzero((same >= least) & (component != number.get(own, -1)))
+            tried: dict[int, int] = {}
+            for i in at[np.lexsort((at, -same[at]))].tolist():
+                c = int(component[i])
+                tried[c] = tried.get(c, 0) + 1
+                if tried[c] <= TRIES:
+                    us.append(max(u, nodes[i]))
+                    vs.append(min(u, nodes[i]))
     return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
 
 
-def links(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """u, v: verified pairs of nodes that connect the classes which the buckets show."""
+def grouped(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, component of the nodes that have a verified link in the buckets."""
     rows = settle(features.select(F.explode("bands").alias("bucket"), F.col("digest").alias("node"), "sketch"))
     heads = settle(rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"))
     joined = settle(rows.join(heads, F.col("bucket") == F.col("_bucket")).drop("_bucket"))
     judged = settle(verify(joined.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct(), features))
-    near = judged.where(F.col("similarity") >= threshold).select("u", "v")
+    first = components(judged.where(F.col("similarity") >= threshold).select("u", "v"))
+
+    def named(frame: DataFrame, node: str, name: str) -> DataFrame:
+        """frame with the component of its column node (the node itself where it has no link) as name."""
+        of = first.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        return frame.join(of, F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", node)).drop("_n", "_c")
+
     under = judged.where(F.col("similarity") < threshold).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    odd = settle(joined.join(under, (F.col("node") == F.col("_u")) & (F.col("head") == F.col("_v")), "left_semi").drop("head"))
+    odd = settle(joined.join(under, (F.col("node") == F.col("_u")) & (F.col("head") == F.col("_v")), "left_semi"))
+    # a node that another bucket has connected with this head adds nothing here
+    odd = settle(named(settle(named(odd, "node", "component")), "head", "_head").where(F.col("component") != F.col("_head")).drop("head", "_head"))
     if odd.isEmpty():
-        return near
+        return first
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    asked = odd.select("bucket", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "node", "sketch")
+    asked = odd.select("bucket", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "node", "sketch", "component")
     buckets = settle(odd.select(F.col("bucket").alias("_b")).distinct())
-    whole = joined.join(buckets, F.col("bucket") == F.col("_b"), "left_semi")
-    dealt = whole.select("bucket", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node", "sketch")
+    whole = named(settle(joined.join(buckets, F.col("bucket") == F.col("_b"), "left_semi")), "node", "component")
+    dealt = whole.select("bucket", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node", "sketch", "component")
     asked = asked.toDF(*[f"_{c}" for c in asked.columns])  # of the same lineage as dealt: names must differ
     likely = dealt.groupBy("bucket", "chunk").cogroup(asked.groupBy("_bucket", "_chunk")).applyInArrow(_alike, "u binary, v binary").distinct()
     known = judged.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    fresh = likely.join(known, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
-    return near.union(settle(verify(fresh, features)).where(F.col("similarity") >= threshold).select("u", "v"))
+    fresh = settle(likely.join(known, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti"))
+    more = settle(verify(fresh, features)).where(F.col("similarity") >= threshold)
+    return components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("u", "v")))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -247,9 +263,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     answers = B.per_shard(B.per_block(held, _requests(shards, drop), ASKED), _document_frequency, SAID)
     gone = _elsewhere(member).select("block", *[F.lit(None).cast(k).alias(c) for c, k in (("shard", "int"), ("at", "binary"), ("df", "binary"))], "gone")
     features = stored(B.with_answers(held, answers.union(gone), _sketch(shards, drop, n, threshold), FEATURES))
-    grouped = components(links(features, threshold))
+    linked = grouped(features, threshold)
     # a class is named by the digest that its component has; each document finds it by its own digest
-    named = member.join(grouped, F.col("digest") == F.col("node"), "left").select("doc_id", F.coalesce("component", "digest").alias("name"))
+    named = member.join(linked, F.col("digest") == F.col("node"), "left").select("doc_id", F.coalesce("component", "digest").alias("name"))
     named = settle(named)
     least = settle(named.groupBy(F.col("name").alias("_name")).agg(F.min("doc_id").alias("class_id")))
     return named.join(least, F.col("name") == F.col("_name")).select("doc_id", "class_id")
