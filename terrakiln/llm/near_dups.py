@@ -11,9 +11,10 @@ many times more.
 3. The others get BANDS * ROWS consistent weighted samples (Ioffe 2010). Documents of one word sequence are one node.
 4. In a bucket of a band, all nodes are verified against the least one, by their whole shingle weights; those that pass
    are connected. Each of the others that no other bucket has connected with that head is compared by sketch with all
-   nodes of the bucket, in chunks of CHUNK, and verified against the TRIES likest of each component in the chunk that the
-   sketches don't rule out (4 standard deviations under THRESHOLD). So a link between a node that passed and one that did
-   not is found without making the bucket's pairs.
+   nodes of the bucket, in pieces of about CHUNK nodes, and verified against all that the sketches don't rule out (4
+   standard deviations under THRESHOLD) and that are of another component, the likest first; a link joins the components
+   at once, for the piece, so a pair is passed over only when its nodes are already joined. The features travel with the
+   pieces, not with the pairs, and only links come back: at most one less than there are components.
 5. Links between nodes make classes (connected components). class_id is the least doc_id of a class.
 
 Defined cases: null and empty texts have no shingle and are one class; repeated rows are of one class; a null doc_id is
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -38,7 +39,8 @@ SHINGLE, THRESHOLD, IDF = 5, 0.8, 0.2
 BANDS, ROWS = 16, 4
 #: For counting documents, shingles keep so many bits more than their number takes: one in 2 ** SPARE is taken for another.
 SPARE = 18
-CHUNK, TRIES = 1024, 4
+#: A bucket's nodes are compared in pieces of about so many nodes and bytes of features.
+CHUNK, CHUNK_BYTES = 1024, 8 << 20
 _ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5 % (1 << 64) | 1) for i in range(16)]
 _K = BANDS * ROWS
 _SEED = [B.mix64(np.arange(1 + j * _K, 1 + (j + 1) * _K, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) for j in range(3)]
@@ -197,33 +199,55 @@ def verify(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return both.select("u", "v", "keys", "weights", "keys2", "weights2").mapInArrow(_verified, "u binary, v binary, similarity double")
 
 
-def _alike(members: pa.Table, odd: pa.Table) -> pa.Table:
-    """u, v: for each odd node of a bucket and each component but its own, the TRIES nodes of the chunk with the likest
-    sketches that don't rule it out."""
+def _links(threshold: float):
+    """u, v: verified links between an odd node and a node of another component, as many as it takes to join all
+    components of the group that have one. A pair is passed over only when its nodes are already joined."""
     least = (THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / _K)) * _K
-    us, vs = [], []
-    if members.num_rows and odd.num_rows:
-        nodes = members.column("node").to_pylist()
-        sketches = np.frombuffer(b"".join(members.column("sketch").to_pylist()), np.uint8).reshape(-1, _K)
-        number: dict[bytes, int] = {}
-        component = np.array([number.setdefault(c, len(number)) for c in members.column("component").to_pylist()])
-        for u, sketch, own in zip(*(odd.column(c).to_pylist() for c in ("_node", "_sketch", "_component")), strict=True):
-            same = (sketches == np.frombuffer(sketch, np.uint8)).sum(1)
-            at = np.flatnonzero((same >= least) & (component != number.get(own, -1)))
-            tried: dict[int, int] = {}
-            for i in at[np.lexsort((at, -same[at]))].tolist():
-                c = int(component[i])
-                tried[c] = tried.get(c, 0) + 1
-                if tried[c] <= TRIES:
-                    us.append(max(u, nodes[i]))
-                    vs.append(min(u, nodes[i]))
-    return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    def run(members: pa.Table, odd: pa.Table) -> pa.Table:
+        us, vs = [], []
+        if members.num_rows and odd.num_rows:
+            nodes = members.column("node").to_pylist()
+            sketches = np.frombuffer(b"".join(members.column("sketch").to_pylist()), np.uint8).reshape(-1, _K)
+            own = [_feature(*f) for f in zip(members.column("keys").to_pylist(), members.column("weights").to_pylist(), strict=True)]
+            keys, place = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+            weights = np.concatenate([w for _, w in own])
+            starts = np.cumsum([0, *(len(k) for k, _ in own[:-1])])
+            totals = np.add.reduceat(weights, starts)
+            number: dict[bytes, int] = {}
+            component = np.array([number.setdefault(c, len(number)) for c in members.column("component").to_pylist()])
+            asked = [number.setdefault(c, len(number)) for c in odd.column("_component").to_pylist()]
+            joined = np.arange(len(number))
+            held = np.zeros(len(keys))
+            for u, sketch, k, w, mine in zip(*(odd.column(c).to_pylist() for c in ("_node", "_sketch", "_keys", "_weights")), asked, strict=True):
+                same = (sketches == np.frombuffer(sketch, np.uint8)).sum(1)
+                at = np.flatnonzero((same >= least) & (joined[component] != joined[mine]))
+                if not len(at):
+                    continue
+                f = _feature(k, w)
+                # all at once, up to rounding; those that pass are verified one by one
+                where = np.minimum(np.searchsorted(keys, f[0]), len(keys) - 1)
+                shared = keys[where] == f[0]
+                held[where[shared]] = f[1][shared]
+                both = np.add.reduceat(np.minimum(held[place], weights), starts)[at]
+                held[where] = 0
+                at = at[both >= (threshold - 1e-6) * (totals[at] + f[1].sum() - both)]
+                for i in at[np.lexsort((at, -same[at]))].tolist():
+                    a, b = joined[component[i]], joined[mine]
+                    if a != b and jaccard(f, own[i]) >= threshold:
+                        us.append(max(u, nodes[i]))
+                        vs.append(min(u, nodes[i]))
+                        joined[joined == a] = b
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    return run
 
 
 def grouped(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, component of the nodes that have a verified link in the buckets."""
-    rows = settle(features.select(F.explode("bands").alias("bucket"), F.col("digest").alias("node"), "sketch"))
-    heads = settle(rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"))
+    size = (F.length("keys") + F.length("weights")).alias("size")
+    rows = settle(features.select(F.explode("bands").alias("bucket"), F.col("digest").alias("node"), size))
+    heads = settle(rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("head")).where("n > 1"))
     joined = settle(rows.join(heads, F.col("bucket") == F.col("_bucket")).drop("_bucket"))
     judged = settle(verify(joined.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct(), features))
     first = components(judged.where(F.col("similarity") >= threshold).select("u", "v"))
@@ -234,22 +258,30 @@ def grouped(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return frame.join(of, F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", node)).drop("_n", "_c")
 
     under = judged.where(F.col("similarity") < threshold).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    odd = settle(joined.join(under, (F.col("node") == F.col("_u")) & (F.col("head") == F.col("_v")), "left_semi"))
+    # the one pair of a bucket of two is judged
+    odd = settle(joined.where("n > 2").join(under, (F.col("node") == F.col("_u")) & (F.col("head") == F.col("_v")), "left_semi"))
     # a node that another bucket has connected with this head adds nothing here
     odd = settle(named(settle(named(odd, "node", "component")), "head", "_head").where(F.col("component") != F.col("_head")).drop("head", "_head"))
     if odd.isEmpty():
         return first
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    asked = odd.select("bucket", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "node", "sketch", "component")
-    buckets = settle(odd.select(F.col("bucket").alias("_b")).distinct())
-    whole = named(settle(joined.join(buckets, F.col("bucket") == F.col("_b"), "left_semi")), "node", "component")
-    dealt = whole.select("bucket", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node", "sketch", "component")
-    asked = asked.toDF(*[f"_{c}" for c in asked.columns])  # of the same lineage as dealt: names must differ
-    likely = dealt.groupBy("bucket", "chunk").cogroup(asked.groupBy("_bucket", "_chunk")).applyInArrow(_alike, "u binary, v binary").distinct()
-    known = judged.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    fresh = settle(likely.join(known, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti"))
-    more = settle(verify(fresh, features)).where(F.col("similarity") >= threshold)
-    return components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("u", "v")))
+
+    def pieces(n: str, size: str):
+        return F.ceil(F.greatest(F.col(n) / CHUNK, F.col(size) / CHUNK_BYTES)).cast("int")
+
+    def dealt(frame: DataFrame, own: str, n_own: Column, other: str, n_other: Column) -> DataFrame:
+        """frame with features: each row in one piece by its node, for each piece of the other side."""
+        held = features.select(F.col("digest").alias("_d"), "sketch", "keys", "weights")
+        full = frame.select("bucket", "node", "component", F.pmod(F.xxhash64("node"), n_own).cast("int").alias(own), n_other.alias("_n")).join(held, F.col("node") == F.col("_d"))
+        return full.select("bucket", own, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(other), "node", "sketch", "keys", "weights", "component")
+
+    buckets = settle(odd.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("n_odd"), F.sum("size").alias("odd_bytes")))
+    n_chunks, n_parts = pieces("n", "bytes"), pieces("n_odd", "odd_bytes")
+    whole = named(settle(joined.join(buckets, F.col("bucket") == F.col("_b")).drop("_b")), "node", "component")
+    asked = dealt(odd.join(buckets, F.col("bucket") == F.col("_b")).drop("_b"), "part", n_parts, "chunk", n_chunks)
+    asked = asked.toDF(*[f"_{c}" for c in asked.columns])  # of the same lineage as the members: names must differ
+    members = dealt(whole, "chunk", n_chunks, "part", n_parts).groupBy("bucket", "chunk", "part")
+    more = settle(members.cogroup(asked.groupBy("_bucket", "_chunk", "_part")).applyInArrow(_links(threshold), "u binary, v binary"))
+    return components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

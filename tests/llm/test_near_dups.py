@@ -89,3 +89,34 @@ def test_samples_agree_as_often_as_weights_do():
         hits += (N.sample(shifted[order], a[order]) == N.sample(shifted[order], b[order])).sum()
         total += N.BANDS * N.ROWS
     assert hits / total == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.04)
+
+
+def test_no_link_of_a_large_bucket_is_missed(spark, monkeypatch):
+    """One bucket with nodes that one member or two of a large component are near enough to, while all others come close."""
+    r = random.Random(8)
+    base = r.sample(range(1 << 62), 100)
+
+    def changed(keys, n):
+        return sorted(r.sample(keys, len(keys) - n) + [r.randrange(1 << 62) for _ in range(n)])
+
+    many = [changed(base, 4) for _ in range(300)]
+    few = [changed(base, 10) for _ in range(40)]  # 0.75 to 0.79 to nearly all; 0.80 to one or two at most
+    nodes = [(np.array(k, np.uint64), np.ones(len(k))) for k in many + few]
+    parent = list(range(len(nodes)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(nodes)), 2):
+        if N.jaccard(nodes[a], nodes[b]) >= N.THRESHOLD:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    expected = {i: find(i) for i in range(len(nodes))}
+    assert 10 < sum(expected[i] == 0 for i in range(300, 340)) < 40
+    rows = [(i.to_bytes(16), [7], (N.sample(k, w) & np.uint64(255)).astype(np.uint8).tobytes(), k.tobytes(), N.B.pack(w.astype(np.float32))) for i, (k, w) in enumerate(nodes)]
+    features = spark.createDataFrame(rows, N.FEATURES)
+    for chunk in (N.CHUNK, 64):
+        monkeypatch.setattr(N, "CHUNK", chunk)
+        found = {int.from_bytes(x.node): int.from_bytes(x.component) for x in N.grouped(features).collect()}
+        assert {i: found.get(i, i) for i in expected} == expected
