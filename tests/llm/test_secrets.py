@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -40,6 +42,29 @@ def test_clean_text_has_no_entropy_span(text):
     assert not [x for x in S.scan(text) if x[1] == 3]
 
 
+@pytest.mark.parametrize(
+    ("characters", "least"),
+    [(string.digits + "ABCDEF", 0.9), (string.ascii_letters + string.digits, 0.95), (string.ascii_letters + string.digits + "+/", 0.95), (string.ascii_letters, 0.93)],
+)
+@pytest.mark.parametrize("n", [20, 24, 32, 40, 64])
+def test_random_keys_are_found(characters, least, n):
+    r = random.Random(n)
+    found = [any(k == 3 for _, k, _ in S.scan(f"the key {''.join(r.choices(characters, k=n))} of it")) for _ in range(400)]
+    assert sum(found) / len(found) >= least
+
+
+@pytest.mark.parametrize("text", ["sample/{}", "https://www.example.org/example/{}/index", "v=example={}", "{}/sample"])
+def test_a_placeholder_clears_its_own_segment_only(text):
+    key = "wJalrXUtnFEMI7K3MDENGbPxRfiCYq9zKdW2"
+    assert any(k == 3 for _, k, _ in S.scan(text.format(key)))
+    assert not any(k == 3 for _, k, _ in S.scan(text.format("sample-" + key)))
+
+
+@pytest.mark.parametrize("text", ["getUserNameFromRequestOrDefaultValue", "/usr/local/share/documents/of/the/project", "HTTP_REQUEST_HEADER_CONTENT_LENGTH", "some-long-title-of-a-page-in-a-blog", "InternationalizationOfApplications"])
+def test_names_and_paths_are_words(text):
+    assert not [x for x in S.scan(text) if x[1] == 3]
+
+
 def test_window_counts_are_the_entropy():
     import math
     from collections import Counter
