@@ -7,10 +7,11 @@ frequent are not learned. Only sampled rows are shuffled.
 Prediction reads every text whole: in blocks of BLOCK code points, so that the dictionary weighs as much at the end of
 a long text as at its start, each block is encoded with each dictionary; the sums of the sizes are compared. score is
 1 - best / second, 0 where there is only one label to choose. A document is rejected where score is under MARGIN, or where
-there is nothing to tell (no text, no letter).
+there is nothing to tell (no text, no letter). With fewer than two labels there is no margin to judge: only documents
+without letters are rejected then.
 
 Defined cases: null text, empty text or no letter: `und`, score 0, rejected; null lang is not learned from; without any
-labelled document all are `und`; repeated rows are predicted each; an empty table gives an empty result; ties go to the
+labelled document all are `und`, and those with letters are kept; repeated rows are predicted each; an empty table gives an empty result; ties go to the
 smaller label; other columns pass through `keep_identified`.
 """
 
@@ -68,15 +69,18 @@ class Identifier:
             self.encoders.append(zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
         self.least = [len(e.compress(b"")) - 1 for e in self.encoders]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """Label, score, and whether the text is rejected."""
         text = letters(text or "")
         if not text or not self.labels:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, not text
+        if len(self.labels) == 1:
+            return self.labels[0], 0.0, False
         blocks = [text[a : a + BLOCK].encode() for a in range(0, len(text), BLOCK)]
         sizes = [sum(len(e.compress(b)) - low for b in blocks) for e, low in zip(self.encoders, self.least, strict=True)]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-        score = 1 - sizes[order[0]] / sizes[order[1]] if len(order) > 1 else 0.0
-        return self.labels[order[0]], score
+        score = 1 - sizes[order[0]] / sizes[order[1]]
+        return self.labels[order[0]], score, score < MARGIN
 
 
 def _predict(sent, text_at: int, names: list[str]):
@@ -85,7 +89,7 @@ def _predict(sent, text_at: int, names: list[str]):
         for batch in batches:
             found = [model.predict(t) for t in batch.column(text_at).to_pylist()]
             columns = [c for i, c in enumerate(batch.columns) if i != text_at]
-            arrays = [*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            arrays = [*columns, *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
@@ -94,13 +98,8 @@ def _predict(sent, text_at: int, names: list[str]):
 def identify(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each of docs (doc_id, text, ...); learn_from: doc_id, text, lang."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(learn_from))
-    schema = "doc_id long, lang_pred string, score double"
-    found = docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(_predict(sent, 1, ["doc_id", "lang_pred", "score"]), schema)
-    return found.withColumn("rejected", rejected())
-
-
-def rejected() -> Column:
-    return (F.col("lang_pred") == UNKNOWN) | (F.col("score") < MARGIN)
+    schema = "doc_id long, lang_pred string, score double, rejected boolean"
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(_predict(sent, 1, ["doc_id", "lang_pred", "score", "rejected"]), schema)
 
 
 def keep_identified(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
@@ -111,7 +110,7 @@ def keep_identified(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
         model = Identifier(sent.value)
         for batch in batches:
             found = [model.predict(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([label != UNKNOWN and score >= MARGIN for label, score in found], pa.bool_()))
+            yield batch.filter(pa.array([not gone for _, _, gone in found], pa.bool_()))
 
     names, at = docs.columns, docs.columns.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])

@@ -49,3 +49,11 @@ def test_end_of_a_long_text_counts():
     mixed = text("fr", 2, 2000) + " " + text("de", 3, 6000)
     assert model.predict(mixed)[0] == "de"
     assert model.predict(mixed)[1] < model.predict(text("de", 3, 8000))[1]
+
+
+def test_a_corpus_of_one_language_or_none_is_kept(documents):
+    for lang in ("en", None):
+        df = documents([*((i, text("en", i, 5 + i), lang, "s") for i in range(60)), (900, None, lang, "s"), (901, "12 34 ...", lang, "s")])
+        learn_from = df.select("doc_id", "text", "lang")
+        assert {r.doc_id for r in L.keep_identified(df, learn_from).collect()} == set(range(60))
+        assert {r.doc_id for r in L.identify(df, learn_from).collect() if r.rejected} == {900, 901}
