@@ -125,7 +125,10 @@ class Index:
             if len(near):
                 scores = (self.vectors[near] * q).sum(1) / (self.norms[near] * norm)
                 best += [(-s, i) for s, j in zip(scores.tolist(), near.tolist(), strict=True) for i in self.ids[j] if i != own]
-                best = sorted(best)[: self.k]
+                first: dict[int, float] = {}  # an id of several vectors takes one place, with its best score
+                for s, i in sorted(best):
+                    first.setdefault(i, s)
+                best = [(s, i) for i, s in first.items()][: self.k]
         return best
 
 

@@ -54,3 +54,8 @@ def test_odd_rows(spark):
 def test_chi_square():
     assert N.chi_square(N.chi_square_at(0.99, 8), 8) == pytest.approx(0.99)
     assert N.chi_square_at(0.99, 8) == pytest.approx(20.09, abs=0.01)
+
+
+def test_an_id_of_several_vectors_takes_one_place(spark):
+    rows = [(0, [1, 0, 0]), *((1, [1, 0.001 * j, 0]) for j in range(1, 7)), *((i, [1, 0.1 * i, 0]) for i in range(2, 9))]
+    assert got(N.nearest(frame(spark, rows), F.col("vec_id") == 0)) == {0: [1, 2, 3, 4, 5]}
