@@ -22,12 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, stored
+from .common import bucketed, give_back, lean, stored
 
 TOKENS = 1_500_000
 SCHEMA = "block long, n_words long, doc_ids array<long>, digests array<binary>, sizes binary, tokens binary, words binary"
 
 
+def digest(words: list[bytes]) -> bytes:
+    """Of a text's words, A-Z lower-cased."""
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
 def _build(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
@@ -48,7 +53,7 @@ def _build(limit: int):
                 words = (raw or b"").lower().split()
                 tokens.extend(map(known.__getitem__, words))
                 ids.append(doc_id)
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                digests.append(digest(words))
                 sizes.append(len(words))
                 if len(tokens) >= limit:
                     yield flush()
@@ -63,7 +68,7 @@ def _build(limit: int):
 def build(docs: DataFrame, limit: int = TOKENS, by_block: bool = False) -> DataFrame:
     """The blocks of docs (doc_id, text, ...), A-Z lower-cased, as a table in the shared folder; by_block: bucketed by
     block, so that later passes bring answers to blocks without moving the blocks."""
-    made = docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(_build(limit), SCHEMA)
+    made = docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lean(_build(limit)), SCHEMA)
     return bucketed(made, "block") if by_block else stored(made)
 
 
@@ -135,7 +140,7 @@ def per_block(frame: DataFrame, f, schema: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(lean(run), schema)
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
@@ -150,7 +155,10 @@ def per_shard(frame: DataFrame, f, schema: str) -> DataFrame:
     kind = _arrow_schema(schema)
 
     def run(group: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(list(f(group.to_pylist())), kind)
+        try:
+            return pa.Table.from_pylist(list(f(group.to_pylist())), kind)
+        finally:
+            give_back()
 
     return frame.groupBy("shard").applyInArrow(run, schema)
 
@@ -160,8 +168,11 @@ def with_answers(frame: DataFrame, answers: DataFrame, f, schema: str) -> DataFr
     kind = _arrow_schema(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        said = right.to_pylist()
-        return pa.Table.from_pylist([r for row in left.to_pylist() for r in f(Block(row), said)], kind)
+        try:
+            said = right.to_pylist()
+            return pa.Table.from_pylist([r for row in left.to_pylist() for r in f(Block(row), said)], kind)
+        finally:
+            give_back()
 
     return frame.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html_pages
-from .common import table
+from .common import lean, table
 
 MAX_DEPTH = 200
 TREES, DEPTH, RATE, BINS, LEAST = 40, 4, 0.3, 24, 4.0
@@ -341,7 +341,7 @@ def extract(pages: list[str | None], judge: Boosted) -> list[str]:
     return out
 
 
-def _extract(sent, id_at: int):
+def _extract(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
@@ -355,7 +355,7 @@ def _extract(sent, id_at: int):
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each of pages (page_id, url, html, ...)."""
     sent = pages.sparkSession.sparkContext.broadcast(model())
-    return pages.select(pages["page_id"].cast("long"), "url", "html").mapInArrow(_extract(sent, 0), "page_id long, url string, text string, n_chars long")
+    return pages.select(pages["page_id"].cast("long"), "url", "html").mapInArrow(lean(_extract(sent)), "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Language ID (op7): the language whose dictionary makes zstandard encode a text shortest.
 
 Fit, on a bounded sample: of each label, about SAMPLE documents chosen by a hash of their id, PIECE code points from a
-hashed place of each, joined to a raw-content dictionary of at most DICT_BYTES. Labels beyond the MAX_LABELS most
-frequent are not learned. Only sampled rows are shuffled.
+hashed place of each, joined in the order of the hash to a raw-content dictionary of at most DICT_BYTES, or less where
+all labels' dictionaries would take more than ALL_BYTES. Every label is learned. Only sampled rows are shuffled.
 
 Prediction reads every text whole: in blocks of BLOCK code points, so that the dictionary weighs as much at the end of
 a long text as at its start, each block is encoded with each dictionary; the sums of the sizes are compared. score is
@@ -25,9 +25,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, small, table
+from .common import lean, small, stored, table
 
-SAMPLE, PIECE, DICT_BYTES, MAX_LABELS = 512, 1024, 512 << 10, 256
+SAMPLE, PIECE, DICT_BYTES, ALL_BYTES = 512, 1024, 512 << 10, 64 << 20
 BLOCK, LEVEL, MARGIN = 4096, 3, 0.005
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -38,20 +38,24 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, max_labels: int = MAX_LABELS) -> dict[str, bytes]:
+def learn(docs: DataFrame, sample: int = SAMPLE, all_bytes: int = ALL_BYTES) -> dict[str, bytes]:
     """A dictionary per label, from docs (doc_id, text, lang)."""
     usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = settle(usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_labels))
+    counts = stored(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    n_labels = counts.count()
+    size = min(DICT_BYTES, all_bytes // max(n_labels, 1))
+    sample = min(sample, -(-4 * size // PIECE))  # pieces that the dictionary can't hold are not drawn
     drawn = F.abs(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")))
     at = F.pmod(F.shiftright(drawn, 7), F.greatest(F.length("text") - PIECE, F.lit(1))).cast("int") + 1
     rows = usable.select(F.col("lang").alias("label"), drawn.alias("drawn"), F.substr(F.col("text"), at, F.lit(PIECE)).alias("piece"))
-    near = rows.join(small(counts, max_labels), F.col("label") == F.col("lang")).where(F.col("drawn") / F.lit(float(1 << 63)) * F.col("n") <= 2 * sample)
+    near = rows.join(small(counts, 4096), F.col("label") == F.col("lang")).where(F.col("drawn") / F.lit(float(1 << 63)) * F.col("n") <= 2 * sample)
     order = Window.partitionBy("label").orderBy("drawn", "piece")
-    chosen = near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample).select("label", "piece").collect()
-    pieces: dict[str, set[str]] = {}
-    for r in chosen:
-        pieces.setdefault(r.label, set()).add(letters(r.piece))
-    return {label: "\n".join(sorted(own)).encode()[:DICT_BYTES] for label, own in sorted(pieces.items())}
+    chosen = near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample).select("label", "rn", "piece").collect()
+    pieces: dict[str, dict[str, None]] = {}
+    for r in sorted(chosen, key=lambda r: (r.label, r.rn)):
+        pieces.setdefault(r.label, {})[letters(r.piece)] = None
+    # zstandard finds what lies near the end of a dictionary most cheaply: the order is that of the hash, not of the letters
+    return {label: "\n".join(own).encode()[:size] for label, own in sorted(pieces.items())}
 
 
 def letters(text: str) -> str:
@@ -99,7 +103,7 @@ def identify(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each of docs (doc_id, text, ...); learn_from: doc_id, text, lang."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(learn_from))
     schema = "doc_id long, lang_pred string, score double, rejected boolean"
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(_predict(sent, 1, ["doc_id", "lang_pred", "score", "rejected"]), schema)
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lean(_predict(sent, 1, ["doc_id", "lang_pred", "score", "rejected"])), schema)
 
 
 def keep_identified(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
@@ -114,7 +118,7 @@ def keep_identified(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
 
     names, at = docs.columns, docs.columns.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*names)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

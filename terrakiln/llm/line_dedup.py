@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, parts, settle, stored, table
+from .common import BROADCAST_BYTES, lean, parts, release, stored, table
 
 MIN_CHARS = 10
 #: Bits of a segment's filters for each hash that it holds, and bits set by a hash.
@@ -43,7 +43,7 @@ def line_keys(raw: bytes) -> list[bytes]:
 
 
 def long_enough(key: bytes, least: int) -> bool:
-    return len(key) >= 4 * least or (len(key) >= least and len(key.decode()) >= least)
+    return len(key) >= 4 * least or (len(key) >= least and len(key.decode(errors="replace")) >= least)
 
 
 def _binary(column: pa.Array) -> list[bytes | None]:
@@ -180,16 +180,17 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes:
     """owner (doc_id, LAST if null), digests (of the keys that the document loses)."""
     spark = docs.sparkSession
     segments = parts(spark)
-    hashes = docs.select("text").mapInArrow(_deal(segments, min_chars), "segment int, seen binary, again binary")
-    filters = settle(hashes.groupBy("segment").applyInArrow(_build, "segment int, bits binary"))
+    hashes = docs.select("text").mapInArrow(lean(_deal(segments, min_chars)), "segment int, seen binary, again binary")
+    filters = stored(hashes.groupBy("segment").applyInArrow(_build, "segment int, bits binary"))
     total = filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
     sent = spark.sparkContext.broadcast({r.segment: bytes(r.bits) for r in filters.collect()}) if total <= broadcast_bytes else None
     owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    suspects = stored(docs.select(owner.alias("owner"), "text").mapInArrow(_suspects(segments, min_chars, sent), "key binary, owner long"))
-    # settled, so that both sides of the join are plain exchanges: a key in a third of all documents can then be split
-    firsts = settle(suspects.groupBy(F.col("key").alias("_key")).agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last"))
-    losses = settle(suspects.join(firsts, F.col("key") == F.col("_key")).where("owner <> first").select("owner", "key"))
-    return losses.mapInArrow(_digests, "owner long, digest binary").groupBy("owner").agg(F.collect_set("digest").alias("digests"))
+    suspects = stored(docs.select(owner.alias("owner"), "text").mapInArrow(lean(_suspects(segments, min_chars, sent)), "key binary, owner long"))
+    # stored, so that both sides of the join are plain exchanges: a key in a third of all documents can then be split
+    firsts = stored(suspects.groupBy(F.col("key").alias("_key")).agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last"))
+    losses = stored(suspects.join(firsts, F.col("key") == F.col("_key")).where("owner <> first").select("owner", "key"))
+    release(suspects, firsts, filters)
+    return losses.mapInArrow(lean(_digests), "owner long, digest binary").groupBy("owner").agg(F.collect_set("digest").alias("digests"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -203,13 +204,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: in
     joined = rows.withColumn("_o", owner).join(losses.hint("shuffle_hash"), F.col("_o") == F.col("owner"), "left").select(*plain, "digests")
     fields = [T.StructField(p, f.dataType, True) for p, f in zip(plain, docs.schema.fields, strict=True)]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_drop(text_at, schema.names), schema).toDF(*names, "n_lines", "n_dropped")
-
-
-def with_length(done: DataFrame, names: list[str]) -> DataFrame:
-    """dedup_lines' rows with the columns `names` only; n_chars, if among them, is the length of a text that lost lines."""
-    length = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in names else None
-    return done.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in names])
+    return joined.mapInArrow(lean(_drop(text_at, schema.names)), schema).toDF(*names, "n_lines", "n_dropped")
+
+
+def with_length(done: DataFrame) -> DataFrame:
+    """dedup_lines' rows without its two counts; n_chars, if there, is the length of a text that lost lines."""
+    names = done.columns
+    plain = done.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {n: F.col(f"c{i}") for i, n in reversed(list(enumerate(names)))}
+    columns = [F.col(f"c{i}") for i in range(len(names) - 2)]
+    if "n_chars" in names[:-2]:
+        length = F.when(F.col(f"c{len(names) - 1}") > 0, F.length(at["text"])).otherwise(at["n_chars"])
+        columns[names.index("n_chars")] = length.cast("long")
+    return plain.select(*columns).toDF(*names[:-2])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, small, table
+from .common import WORD, small, stored, table
 
 SHARE, CAP, SOURCE_WEIGHTS, SEED = 1.5, 2, (3, 1, 2), "mix"
 #: Cuts of the key's range, per source.
@@ -81,7 +81,7 @@ def mix_plan(
     """A row per source: source_size, target, epochs, and the border of the fraction: edge_key, edge_id, edge_size, edge_words."""
     bucket = F.floor((F.lit(1.0) - F.exp("key")) * buckets).cast("int")
     dealt = keyed.withColumn("bucket", bucket)
-    cells = settle(dealt.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
+    cells = stored(dealt.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
     targets = _targets(cells, share, cap, weights).withColumn(
         "epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
     )
@@ -90,7 +90,7 @@ def mix_plan(
     at = cells.withColumn("ahead", F.coalesce(F.sum("size").over(running), F.lit(0)))
     at = at.withColumnRenamed("source", "_s").join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     borders = at.where((F.col("rest") > 0) & (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("size") >= F.col("rest")))
-    borders = settle(borders.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.col("rest").alias("_rest"), F.col("ahead").alias("_ahead")))
+    borders = stored(borders.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.col("rest").alias("_rest"), F.col("ahead").alias("_ahead")))
     near = dealt.join(small(borders, PLAN_ROWS), F.col("_s").eqNullSafe(F.col("source")) & (F.col("_b") == F.col("bucket")))
     # rows that no order can tell apart count as one, `n` times
     ties = near.groupBy("source", "key", "doc_id", "size", "_rest", "_ahead").agg(F.count("*").alias("n"))
@@ -101,7 +101,7 @@ def mix_plan(
         F.col("source").alias("_s"), F.col("key").alias("edge_key"), F.col("doc_id").alias("edge_id"), F.col("size").alias("edge_size"),
         F.floor((F.col("_rest") - F.col("_before")) / F.col("n")).cast("long").alias("edge_words"),
     )
-    return settle(targets.join(edges, F.col("_s").eqNullSafe(F.col("source")), "left").drop("_s", "rest"))
+    return stored(targets.join(edges, F.col("_s").eqNullSafe(F.col("source")), "left").drop("_s", "rest"))
 
 
 def _with_taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _with_taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, *, share: float = SHARE, cap: int = CAP, weights: tuple[int, ...] = SOURCE_WEIGHTS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of each row of docs (doc_id, text, source, ...)."""
-    keyed = settle(_keyed(docs, seed))
+    keyed = stored(_keyed(docs, seed))
     out = _with_taken(keyed, mix_plan(keyed, share, cap, weights))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -132,7 +132,7 @@ def mix_documents(docs: DataFrame, *, share: float = SHARE, cap: int = CAP, weig
     """The mixed corpus with the columns of docs: a document once for each time it is taken whole, and cut after its last
     word taken where a border falls into it. Texts stay in their partitions; n_chars follows a cut text."""
     columns = docs.columns
-    plan = mix_plan(settle(_keyed(docs, seed)), share, cap, weights)
+    plan = mix_plan(stored(_keyed(docs, seed)), share, cap, weights)
     packed = F.struct(*columns).alias("_doc")
     rows = docs.select(packed, "doc_id", "source", n_words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("_w"))
     rows = rows.select("_doc", "doc_id", "source", "size", sampling_key(F.col("doc_id"), F.col("_w"), seed).alias("key"))

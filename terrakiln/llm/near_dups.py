@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks as B
-from .common import parts, settle, stored, table
+from .common import lean, parts, release, stored, table
 from .components import components
 
 SHINGLE, THRESHOLD, IDF = 5, 0.8, 0.2
@@ -172,8 +173,8 @@ def _sketch(shards: int, drop: int, n: int, threshold: float):
 
 def _elsewhere(member: DataFrame) -> DataFrame:
     """block, digests that an earlier block holds as well and answers for."""
-    pairs = settle(member.select("digest", "block").distinct())
-    first = settle(pairs.groupBy(F.col("digest").alias("_d")).agg(F.min("block").alias("first"), F.max("block").alias("last")).where("first < last"))
+    pairs = stored(member.select("digest", "block").distinct())
+    first = stored(pairs.groupBy(F.col("digest").alias("_d")).agg(F.min("block").alias("first"), F.max("block").alias("last")).where("first < last"))
     later = pairs.join(first, F.col("digest") == F.col("_d")).where("block > first")
     return later.groupBy("block").agg(F.collect_list("digest").alias("gone"))
 
@@ -196,7 +197,7 @@ def verify(pairs: DataFrame, features: DataFrame) -> DataFrame:
     one = features.select(F.col("digest").alias("_a"), "keys", "weights")
     two = features.select(F.col("digest").alias("_b"), F.col("keys").alias("keys2"), F.col("weights").alias("weights2"))
     both = pairs.join(one, F.col("u") == F.col("_a")).drop("_a").join(two, F.col("v") == F.col("_b"))
-    return both.select("u", "v", "keys", "weights", "keys2", "weights2").mapInArrow(_verified, "u binary, v binary, similarity double")
+    return both.select("u", "v", "keys", "weights", "keys2", "weights2").mapInArrow(lean(_verified), "u binary, v binary, similarity double")
 
 
 def _links(threshold: float):
@@ -246,10 +247,11 @@ def _links(threshold: float):
 def grouped(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, component of the nodes that have a verified link in the buckets."""
     size = (F.length("keys") + F.length("weights")).alias("size")
-    rows = settle(features.select(F.explode("bands").alias("bucket"), F.col("digest").alias("node"), size))
-    heads = settle(rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("head")).where("n > 1"))
-    joined = settle(rows.join(heads, F.col("bucket") == F.col("_bucket")).drop("_bucket"))
-    judged = settle(verify(joined.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct(), features))
+    rows = stored(features.select(F.explode("bands").alias("bucket"), F.col("digest").alias("node"), size))
+    heads = stored(rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("head")).where("n > 1"))
+    joined = stored(rows.join(heads, F.col("bucket") == F.col("_bucket")).drop("_bucket"))
+    release(rows, heads)
+    judged = stored(verify(joined.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct(), features))
     first = components(judged.where(F.col("similarity") >= threshold).select("u", "v"))
 
     def named(frame: DataFrame, node: str, name: str) -> DataFrame:
@@ -259,10 +261,14 @@ def grouped(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     under = judged.where(F.col("similarity") < threshold).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     # the one pair of a bucket of two is judged
-    odd = settle(joined.where("n > 2").join(under, (F.col("node") == F.col("_u")) & (F.col("head") == F.col("_v")), "left_semi"))
+    odd = stored(joined.where("n > 2").join(under, (F.col("node") == F.col("_u")) & (F.col("head") == F.col("_v")), "left_semi"))
     # a node that another bucket has connected with this head adds nothing here
-    odd = settle(named(settle(named(odd, "node", "component")), "head", "_head").where(F.col("component") != F.col("_head")).drop("head", "_head"))
+    outside = stored(named(odd, "node", "component"))
+    release(odd, judged)
+    odd = stored(named(outside, "head", "_head").where(F.col("component") != F.col("_head")).drop("head", "_head"))
+    release(outside)
     if odd.isEmpty():
+        release(odd, joined)
         return first
 
     def pieces(n: str, size: str):
@@ -274,18 +280,23 @@ def grouped(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         full = frame.select("bucket", "node", "component", F.pmod(F.xxhash64("node"), n_own).cast("int").alias(own), n_other.alias("_n")).join(held, F.col("node") == F.col("_d"))
         return full.select("bucket", own, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(other), "node", "sketch", "keys", "weights", "component")
 
-    buckets = settle(odd.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("n_odd"), F.sum("size").alias("odd_bytes")))
+    buckets = stored(odd.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("n_odd"), F.sum("size").alias("odd_bytes")))
     n_chunks, n_parts = pieces("n", "bytes"), pieces("n_odd", "odd_bytes")
-    whole = named(settle(joined.join(buckets, F.col("bucket") == F.col("_b")).drop("_b")), "node", "component")
+    asking = stored(joined.join(buckets, F.col("bucket") == F.col("_b")).drop("_b"))
+    release(joined)
+    whole = named(asking, "node", "component")
     asked = dealt(odd.join(buckets, F.col("bucket") == F.col("_b")).drop("_b"), "part", n_parts, "chunk", n_chunks)
     asked = asked.toDF(*[f"_{c}" for c in asked.columns])  # of the same lineage as the members: names must differ
     members = dealt(whole, "chunk", n_chunks, "part", n_parts).groupBy("bucket", "chunk", "part")
-    more = settle(members.cogroup(asked.groupBy("_bucket", "_chunk", "_part")).applyInArrow(_links(threshold), "u binary, v binary"))
-    return components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    more = stored(members.cogroup(asked.groupBy("_bucket", "_chunk", "_part")).applyInArrow(_links(threshold), "u binary, v binary"))
+    release(odd, buckets, asking)
+    out = components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    release(more)
+    return out
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id of each row of docs (doc_id, text, ...)."""
+def _named(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, digest, name (of its class: a digest) of each row of docs."""
     held = B.build(docs, by_block=True)
     shards = parts(docs.sparkSession)
     member = B.members(held)
@@ -295,18 +306,54 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     answers = B.per_shard(B.per_block(held, _requests(shards, drop), ASKED), _document_frequency, SAID)
     gone = _elsewhere(member).select("block", *[F.lit(None).cast(k).alias(c) for c, k in (("shard", "int"), ("at", "binary"), ("df", "binary"))], "gone")
     features = stored(B.with_answers(held, answers.union(gone), _sketch(shards, drop, n, threshold), FEATURES))
+    members_ = stored(member)
+    release(held)
     linked = grouped(features, threshold)
+    release(features)
     # a class is named by the digest that its component has; each document finds it by its own digest
-    named = member.join(linked, F.col("digest") == F.col("node"), "left").select("doc_id", F.coalesce("component", "digest").alias("name"))
-    named = settle(named)
-    least = settle(named.groupBy(F.col("name").alias("_name")).agg(F.min("doc_id").alias("class_id")))
+    named = members_.join(linked, F.col("digest") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("component", "digest").alias("name"))
+    named = stored(named)
+    release(members_, linked)
+    return named
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id of each row of docs (doc_id, text, ...)."""
+    named = _named(docs, threshold)
+    least = stored(named.groupBy(F.col("name").alias("_name")).agg(F.min("doc_id").alias("class_id")))
     return named.join(least, F.col("name") == F.col("_name")).select("doc_id", "class_id")
 
 
+def _with_digest(text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [B.digest((raw or b"").lower().split()) for raw in batch.column(text_at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "digest"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the least doc_id of each class only (rows without an id stay)."""
-    found = classes(docs, threshold).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of docs for each class: that of the least doc_id, of its several texts that of the least digest; a row
+    without an id only where its class has no other. All columns as they were, whatever their names."""
+    named = _named(docs, threshold)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    least = stored(named.groupBy(F.col("name").alias("_name")).agg(first))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    rows = named.join(least, F.col("name") == F.col("_name")).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    rows = stored(rows.agg(F.max(own).alias("stays"), F.count("*").alias("times")).where("NOT stays OR times > 1"))
+    release(named, least)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    id_at, text_at = names.index("doc_id"), names.index("text")
+    full = plain.mapInArrow(lean(_with_digest(text_at)), T.StructType([*plain.schema.fields, T.StructField("digest", T.BinaryType())]))
+    same = F.col(f"c{id_at}").cast("long").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    kept = full.join(rows.hint("shuffle_hash"), same, "left_anti").select(*plain.columns)
+    again = rows.where("stays")  # rows repeated whole
+    if not again.isEmpty():
+        one = full.join(again, same).groupBy("_id", "_digest").agg(F.first(F.struct(*plain.columns)).alias("row"))
+        kept = kept.unionByName(one.select("row.*"))
+    return kept.toDF(*names)
 
 
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

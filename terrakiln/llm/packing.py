@@ -4,7 +4,7 @@ A document's ids (byte-level BPE, then END_ID) are cut into full pieces of `size
 classes of `grain` tokens, rounded up. A linear program over the class histogram asks for the fewest sequences: its
 columns are patterns (how many pieces of each class go into one sequence), priced by an unbounded knapsack program over
 the duals, until no pattern improves it. The pattern counts are rounded down; what they leave over, a few pieces for
-each basic column, fills further sequences largest fit first, by exact length. The histogram has at most `size` rows, so
+each basic column, fills further sequences, the longest piece first with those that fill the rest best, by exact length. The histogram has at most `size` rows, so
 the program's cost does not grow with the corpus.
 
 Pieces are ranked within their length: counts per (length, salt) give each salt its first rank, so that a length with a
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, settle, table
+from .common import lean, parts, stored, table
 
 SIZE, GRAIN, END_ID = 2048, 8, 1
 #: Encoded parts that a worker remembers.
@@ -51,10 +51,8 @@ class Encoder:
     def __init__(self, path: str, ranks_path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self.path, self.exact = path, None
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -63,6 +61,11 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if _RARE.search(text):
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.path)
+                self.exact.encode_special_tokens = True
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = PARTS.findall(text)
         try:
@@ -76,6 +79,11 @@ class Encoder:
             return b"".join(map(known.__getitem__, parts))
 
 
+    def forget(self) -> None:
+        """The parts kept: the worker may next do something else."""
+        self.known, self.older, self.exact = {}, {}, None
+
+
 def encoder(path: str, ranks_path: str) -> Encoder:
     if (path, ranks_path) not in _encoders:
         _encoders[path, ranks_path] = Encoder(path, ranks_path)
@@ -92,18 +100,20 @@ def _cut(paths: tuple[str, str] | None, size: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*(paths or tokenizer_paths())).encode
+        own = encoder(*(paths or tokenizer_paths()))
+        encode = own.encode
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = (encode(text) if text else b"") + end
                 n = len(ids) // 4
                 for a in range(0, n, size):
-                    own = ids[4 * a : 4 * (a + size)]
-                    rows.append((doc_id, a, len(own) // 4, zlib.crc32(own), n, own))
+                    piece = ids[4 * a : 4 * (a + size)]
+                    rows.append((doc_id, a, len(piece) // 4, zlib.crc32(piece), n, piece))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + ([pa.array(columns[5], pa.binary())] if with_ids else [])
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
+        own.forget()
 
     return run
 
@@ -171,6 +181,31 @@ def column_generation(demand: np.ndarray, room: int, most: int = 4000) -> list[t
     return found
 
 
+def fullest(left: dict[int, int], size: int) -> list[int]:
+    """Of pieces by length: the longest, with those that fill the rest of a sequence best (a knapsack over bit sets)."""
+    longest = max(left)
+    reached = 1 << longest
+    steps = [(reached, 0)]
+    mask = (1 << size + 1) - 1
+    for length in sorted(left, reverse=True):
+        for _ in range(min(left[length] - (length == longest), (size - longest) // length)):
+            more = (reached | reached << length) & mask
+            if more == reached:
+                break
+            reached = more
+            steps.append((reached, length))
+            if reached >> size:
+                break
+        if reached >> size:
+            break
+    at, out = reached.bit_length() - 1, [longest]
+    for (_, length), (before, _) in zip(steps[:0:-1], steps[-2::-1], strict=True):
+        if not before >> at & 1:
+            out.append(length)
+            at -= length
+    return out
+
+
 def plan_slots(histogram: dict[int, int], size: int = SIZE, grain: int = GRAIN) -> tuple[np.ndarray, np.ndarray]:
     """Where pieces go. histogram: pieces by exact length. Returns
 
@@ -202,17 +237,13 @@ def plan_slots(histogram: dict[int, int], size: int = SIZE, grain: int = GRAIN)
         begin = max(int(first[length]), int(demand[k] - left[k]))
         if (over := int(first[length]) + n - begin) > 0:
             exact[length], ranks[length] = over, begin
-    order = sorted(exact)
-    while order:
-        gap = size
-        while order and (i := int(np.searchsorted(order, gap, "right"))):
-            length = order[i - 1]
+    while exact:
+        for length in fullest(exact, size):
             slots.append((-(-length // grain), ranks[length], 1, sequence))
             ranks[length] += 1
             exact[length] -= 1
-            gap -= length
             if not exact[length]:
-                order.pop(i - 1)
+                del exact[length]
         sequence += 1
     return first, np.array(sorted(slots), np.int64).reshape(-1, 4)
 
@@ -241,9 +272,9 @@ def pack_documents(docs: DataFrame, *, size: int = SIZE, grain: int = GRAIN, end
     spark = docs.sparkSession
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)
-    pieces = settle(docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(_cut(paths, size, end_id, with_ids), schema))
+    pieces = stored(docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lean(_cut(paths, size, end_id, with_ids)), schema))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts(spark))))
-    counts = settle(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")))
+    counts = stored(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     sent = spark.sparkContext.broadcast(plan_slots(histogram, size, grain))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -252,7 +283,7 @@ def pack_documents(docs: DataFrame, *, size: int = SIZE, grain: int = GRAIN, end
     ranked = salted.join(begins, (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s"))).select(
         *names, (F.col("_begin") + F.row_number().over(own) - 1).alias("_rank")
     )
-    placed = ranked.mapInArrow(_place(sent, grain, names), f"{schema}, sequence_id long, _slot long")
+    placed = ranked.mapInArrow(lean(_place(sent, grain, names)), f"{schema}, sequence_id long, _slot long")
     inside = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select(*names, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"))
 

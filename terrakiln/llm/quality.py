@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import lean, stored, table
 
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_BYTES = SPACE.encode()
@@ -32,7 +32,6 @@ FUNCTION_WORDS = frozenset(
     b"le la les de des et est un une que qui dans pour pas sur avec au el los las en y por con para una se del no su lo como".split()
 )
 CODE = re.compile(r"lorem ipsum|javascript|function\s*\(|</?(?:div|span|script|html)\b|\{[^{}]{0,200};[^{}]{0,200}\}", re.I)
-BULLETS = ("•", "-", "*", "·", "‣", "●")
 #: Figure, bad if under, good from, good to, bad if over (None: no such bound).
 RULES: tuple[tuple[str, float | None, float, float, float | None], ...] = (
     ("n_words", 25, 50, 50_000, 200_000),
@@ -127,7 +126,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for raw in batch.column(1).cast(pa.binary()).to_pylist():
             raw = raw or b""
-            text, words = raw.decode(), raw.split()
+            text, words = raw.decode(errors="replace"), raw.split()
             base = base_counts(text, raw, words)
             found = figures(text, raw, words, base)
             pattern = 0
@@ -168,11 +167,11 @@ def judge(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """A row for each of docs (doc_id, text, ...): base counts, base_failed, quality (posterior), kept."""
     spark = docs.sparkSession
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, pattern long"
-    found = settle(docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(_batches, schema))
+    found = stored(docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lean(_batches), schema))
     # documents that fail the base rule are decided and would teach the rules nothing
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    patterns = {r.pattern: r["count"] for r in found.groupBy("pattern").count().collect()}  # at most PATTERNS rows
-    posterior = expectation_maximisation(patterns) if patterns else {}
+    counted = found.groupBy("pattern").agg(F.count_if(~failed).alias("taught")).collect()  # at most PATTERNS rows
+    posterior = expectation_maximisation({r.pattern: r.taught for r in counted}) if counted else {}
     by = spark.createDataFrame(sorted(posterior.items()) or [(-1, 0.0)], "_pattern long, quality double")
     out = found.join(F.broadcast(by), F.col("pattern") == F.col("_pattern")).drop("_pattern", "pattern")
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep))

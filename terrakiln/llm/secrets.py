@@ -24,7 +24,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import lean, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -104,6 +104,9 @@ def entropy_windows(run: str) -> list[tuple[int, int]]:
 
 def allowed(text: str, start: int, end: int) -> bool:
     run = text[start:end]
+    named, equals, value = run.rpartition("=")
+    if equals and value and NAMED_HASH.search(named[-16:] + "="):  # the name of the hash lies inside the run
+        return True
     if ALLOWED.fullmatch(run) or NAMED_HASH.fullmatch(run + "=") or NAMED_HASH.search(text[max(0, start - 16) : start]):
         return True
     run = re.sub("[0-9]{1,4}$", "", run)  # a number at most
@@ -147,7 +150,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         n: list[list[int]] = [[], [], [], []]
         base, spans = [], []
         for raw in batch.column(1).cast(pa.binary()).to_pylist():
-            found = scan(raw.decode(), raw) if raw else []
+            found = scan(raw.decode(errors="replace"), raw) if raw else []
             for k in range(4):
                 n[k].append(sum(x[1] == k for x in found))
             said = [f"{KINDS[k]}:{a}:{b}" for a, k, b in found if k < 3]
@@ -160,7 +163,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def scan_documents(docs: DataFrame) -> DataFrame:
     """A row for each of docs (doc_id, text, ...): counts by kind and all spans."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(_scan_batches, schema)
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lean(_scan_batches), schema)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,13 @@ def test_stage_keeps_columns_and_clean_rows(documents):
     assert len(ids) > 0.95 * 240
 
 
+def test_every_label_is_learned(documents):
+    df = documents([(i, text(sorted(SYLLABLES)[i % 3], i), f"l{i // 2}", "s") for i in range(1200)])
+    learned = L.learn(df.select("doc_id", "text", "lang"), all_bytes=600 * 900)
+    assert len(learned) == 600
+    assert all(0 < len(d) <= 900 for d in learned.values())
+
+
 def test_end_of_a_long_text_counts():
     model = L.Identifier({k: text(k, 1, 3000).encode() for k in SYLLABLES})
     mixed = text("fr", 2, 2000) + " " + text("de", 3, 6000)

@@ -42,10 +42,17 @@ def test_empty_table(empty):
 
 
 def test_length_follows(odd):
-    rows = L.with_length(L.dedup_lines(odd), odd.columns).collect()
+    rows = L.with_length(L.dedup_lines(odd)).collect()
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
 
 
+def test_columns_named_as_the_counts(odd):
+    clashing = odd.withColumnRenamed("digest", "n_dropped").withColumnRenamed("key", "n_lines")
+    done = L.with_length(L.dedup_lines(clashing))
+    assert done.columns == clashing.columns
+    assert {(r.n_dropped, r.n_lines) for r in done.collect()} == {("d", "k")}
+
+
 def test_many_copies(documents):
     rows = [(i, f"the very same line of text\nunique line number {i} of all\n{'x' * (i % 20)}", "en", "s") for i in range(400)]
     assert got(L.dedup_lines(documents(rows))) == brute(rows)

@@ -74,7 +74,24 @@ def test_one_of_each_class_stays(documents):
     assert sorted(r.doc_id for r in kept.collect()) == [0, *range(100, 120)]
 
 
+def test_rows_are_told_apart_by_text_too(documents):
+    a, b = "the same text of some ten words in every row " * 3, " ".join(f"only{i}" for i in range(30))
+    rows = [(1, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (None, a, "en", "s"), (None, b + " here", "en", "s"), (7, b + " here and there", "fr", "s")]
+    got = {(r.doc_id, r.text) for r in N.keep_one(documents(rows)).collect()}
+    assert got == {(1, a), (5, b)}
+
+
+def test_rows_repeated_whole_stay_once(documents, odd_rows):
+    rows = [(3, f"{i} " + "some words of a text " * 4, "en", "s") for i in range(3)] * 4 + [(9, None, "en", "s"), (10, "", None, None)]
+    clashing = documents(rows).withColumnRenamed("key", "digest2").withColumnRenamed("lang", "first")
+    kept = N.keep_one(clashing)
+    assert kept.columns == clashing.columns
+    found = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert len(found) == len(set(found)) and [d for d, _ in found if d > 3] == [9]
+
+
 def test_empty_table(empty):
+    assert N.keep_one(empty).count() == 0
     assert N.classes(empty).count() == 0
 
 

@@ -77,7 +77,30 @@ def test_plan_places_each_piece_once(seed):
             places.add(place)
             load[place[0]] += length
     assert max(load.values()) <= P.SIZE
-    assert sum(load.values()) / (len(load) * P.SIZE) > 0.95
+    # about half of these pieces are longer than half a sequence: the linear program itself fills 95.5 to 96.6 % of such sequences
+    demand = np.zeros(P.SIZE // P.GRAIN, np.int64)
+    for length, n in histogram.items():
+        demand[-(-length // P.GRAIN) - 1] += n
+    assert len(load) <= 1 + sum(often for _, often in P.column_generation(demand, len(demand)))
+
+
+def test_short_pieces_are_packed_without_padding():
+    histogram = Counter(np.random.default_rng(9).integers(1, 600, 3000).tolist())
+    _, slots = P.plan_slots(histogram)
+    n = int(slots[:, 3].max()) + 1  # a slot of several sequences names the first; the plan's last one is a rest
+    assert sum(length * times for length, times in histogram.items()) / (n * P.SIZE) > 0.985
+
+
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 4), min_size=1, max_size=8))
+@settings(max_examples=100, deadline=None)
+def test_a_sequence_is_filled_best(left):
+    found = Counter(P.fullest(left, 60))
+    assert not found - Counter(left) and max(found) == max(left)
+    sums = {max(left)}
+    for length, n in left.items():
+        for _ in range(n - (length == max(left))):
+            sums |= {s + length for s in sums if s + length <= 60}
+    assert sum(found.elements()) == max(sums)
 
 
 def test_linear_program_reaches_the_bound():
