@@ -20,8 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each repeated line stays in the first document that holds it; n_chars follows the text."""
-    done = line_dedup.dedup_lines(docs)
-    return line_dedup.with_length(done, docs.columns)
+    return line_dedup.with_length(line_dedup.dedup_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
