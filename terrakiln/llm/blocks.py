@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, give_back, lean, stored
+from .common import bucketed, give_back, lean, parts, stored
 
 TOKENS = 1_500_000
 SCHEMA = "block long, n_words long, doc_ids array<long>, digests array<binary>, sizes binary, tokens binary, words binary"
@@ -76,15 +76,24 @@ _squeeze = zstandard.ZstdCompressor(level=1)
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers by byte planes, squeezed: planes of small numbers vanish."""
+    """Whole numbers of at least 0 by byte planes, as many as the largest takes, squeezed: planes of small numbers vanish."""
     raw = np.ascontiguousarray(values)
-    return _squeeze.compress(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes() if len(raw) else b"")
+    size = raw.itemsize
+    if size > 1 and raw.dtype.kind in "iu" and len(raw):
+        size = next(k for k in (1, 2, 4, 8) if int(raw.max()) < 1 << 8 * k)
+        raw = raw.astype(f"u{size}")
+    planes = raw.view(np.uint8).reshape(len(raw), size)
+    return bytes([size]) + _squeeze.compress(b"".join([np.ascontiguousarray(planes[:, i]) for i in range(size)]))
 
 
 def unpack(packed: bytes, kind: type) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel() if raw else np.zeros(0, kind)
+    size, raw = packed[0], zstandard.ZstdDecompressor().decompress(packed[1:])
+    planes = np.frombuffer(raw, np.uint8).reshape(size, -1)
+    out = np.empty((planes.shape[1], size), np.uint8)
+    for i in range(size):
+        out[:, i] = planes[i]
+    own = np.dtype(kind)
+    return out.view(own if size == own.itemsize else f"u{size}").ravel().astype(own, copy=False)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -96,14 +105,35 @@ def unpack_keys(packed: bytes) -> np.ndarray:
     return np.cumsum(unpack(packed, np.uint64), dtype=np.uint64)
 
 
-def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The order of distinct keys by shard and key, and (shard, from, to)."""
+def sorted_order(keys: np.ndarray) -> np.ndarray:
+    """The order that sorts 64-bit keys: numbers sort many times faster than their order, so the places are sorted along
+    with the keys' high bits, and the few keys that those don't tell apart are put right."""
+    if len(keys) < 2:
+        return np.arange(len(keys))
+    low = np.uint64(len(keys).bit_length())
+    lead = np.uint64(64 - int(keys.max()).bit_length())
+    mask = np.uint64((1 << int(low)) - 1)
+    order = (np.sort((keys << lead) & ~mask | np.arange(len(keys), dtype=np.uint64)) & mask).astype(np.int64)
+    found = keys[order]
+    for i in np.flatnonzero(found[1:] < found[:-1]).tolist():
+        a = b = i
+        own = found[i] << lead & ~mask
+        while a > 0 and found[a - 1] << lead & ~mask == own:
+            a -= 1
+        while b < len(found) and found[b] << lead & ~mask == own:
+            b += 1
+        order[a:b] = order[a:b][np.argsort(keys[order[a:b]], kind="stable")]
+    return order
+
+
+def ranges(keys: np.ndarray, bits: int, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of ascending distinct keys of so many bits: shards are ranges of the key space."""
     if not len(keys):
-        return np.zeros(0, np.int64), []
-    shard = keys % np.uint64(shards)
-    order = np.lexsort((keys, shard))
-    which, start = np.unique(shard[order], return_index=True)
-    return order, list(zip(which.tolist(), start.tolist(), [*start[1:].tolist(), len(order)], strict=True))
+        return []
+    high = keys >> np.uint64(bits - 32) if bits > 32 else keys << np.uint64(32 - bits)
+    shard = high * np.uint64(shards) >> np.uint64(32)
+    start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    return list(zip(shard[start].tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True))
 
 
 class Block:
@@ -177,6 +207,20 @@ def with_answers(frame: DataFrame, answers: DataFrame, f, schema: str) -> DataFr
     return frame.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
+def told(answers: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Answers, with those of before, as a table bucketed by block: they are moved once, however often blocks read them."""
+    spark = answers.sparkSession
+    own = answers.repartition(parts(spark), "block")
+    if before is None:
+        return bucketed(own, "block")
+    path, name = before._held
+    own.write.bucketBy(parts(spark), "block").option("path", path).format("parquet").mode("append").saveAsTable(name)
+    spark.catalog.refreshTable(name)
+    out = spark.table(name)
+    out._held = before._held
+    return out
+
+
 def members(frame: DataFrame) -> DataFrame:
     """doc_id, digest (of its words), block of each document."""
     both = F.explode(F.arrays_zip("doc_ids", "digests")).alias("x")

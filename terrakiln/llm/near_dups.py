@@ -122,10 +122,8 @@ def _requests(shards: int, drop: int):
         texts, own = _own_shingles(block)
         if texts:
             keys, df = _frequencies(texts, own, drop)
-            order, spans = B.by_shard(keys, shards)
-            for shard, a, b in spans:
-                at = order[a:b]
-                yield {"shard": shard, "block": block.id, "keys": B.pack_keys(keys[at] // np.uint64(shards)), "df": B.pack(df[at])}
+            for shard, a, b in B.ranges(keys, 64 - drop, shards):
+                yield {"shard": shard, "block": block.id, "keys": B.pack_keys(keys[a:b]), "df": B.pack(df[a:b])}
 
     return f
 
@@ -149,12 +147,11 @@ def _sketch(shards: int, drop: int, n: int, threshold: float):
             return
         keys, _ = _frequencies(texts, own, drop)
         df = np.ones(len(keys), np.int64)
-        order, spans = B.by_shard(keys, shards)
-        start = {shard: a for shard, a, _ in spans}
+        start = {shard: a for shard, a, _ in B.ranges(keys, 64 - drop, shards)}
         gone: set[bytes] = set()
         for r in said:
             if r["gone"] is None:
-                df[order[start[r["shard"]] + B.unpack(r["at"], np.int32)]] = B.unpack(r["df"], np.int32)
+                df[start[r["shard"]] + B.unpack(r["at"], np.int32)] = B.unpack(r["df"], np.int32)
             else:
                 gone.update(r["gone"])
         for (digest, _), s in zip(texts, own, strict=True):

@@ -1,41 +1,55 @@
-"""LM scoring (op1): a probabilistic suffix tree over words, with contexts of up to two words.
+"""LM scoring (op1): a probabilistic suffix tree over words, with contexts of up to `depth` words.
 
 Symbols are words (A-Z lower-cased) and one end per text; a text starts after a start mark. The root holds
-P(w) = (c + 0.1) / (N + 0.1 (V + 1)). A context s, one word or two, is a state of the tree if it passes a divergence
+P(w) = (c + 0.1) / (N + 0.1 (V + 1)). A context s of one word or more is a state of the tree if it passes a divergence
 test against its suffix: over the training text, the leave-one-out log-likelihood of what follows s under s's own smoothed
 distribution exceeds that under its suffix by more than GAIN. What follows s once only counts against s, what repeats
-for it, so the test measures divergence that will be seen again. States are smoothed by absolute discounting,
-P(w | s) = max(c(sw) - D, 0) / c(s) + D u(s) / c(s) P(w | suffix), u(s) different words follow s: it sums to one. A word is
-scored by the longest suffix of what precedes it that is a state.
+for it, so the test measures divergence that will be seen again. States are smoothed by absolute discounting, with what
+follows once left to the suffix: P(w | s) = (c(sw) - D) / c(s) where c(sw) > 1, plus r(s) / c(s) P(w | suffix), r(s) being
+what the first terms leave; it sums to one. A word is scored by the longest suffix of what precedes it that is a state.
 
 All counts cover all training documents. They are kept nowhere as a whole: blocks (see blocks.py) send their distinct
-words and word pairs to shards of the hash space, learn the counts of their own, then ask for the triples whose context
-repeats and add up the test of each context, and so on; the model is as large as the corpus has repeated contexts, and
-spread over the shards. A word or pair that is in every document travels once per block. N-grams are known by 64-bit
-hashes.
+n-grams to shards of the hash space and learn the counts of their own, order by order. An n-gram is asked about only if
+its context and its suffix both repeat, as it can't repeat otherwise; the first block that holds it adds it to its
+context's test, and the shards decide which contexts are states. So the model is as large as what repeats in the corpus,
+and spread over the shards. An n-gram that is in every document travels once per block. Answers are moved once, to their
+block's bucket.
+
+Words are known by 64-bit hashes, longer n-grams by hashes with SPARE bits more than the corpus has words: one in
+2 ** SPARE is taken for another.
 
 Defined cases: a null or empty text is its end alone; a null doc_id is held out; repeated rows count and are scored each;
-with no training documents P(w) = 1 / (0.1 / 0.1) of an empty vocabulary, 1; an empty table gives an empty result.
+with no training documents P(w) = 0.1 / 0.1 of an empty vocabulary, 1; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import parts, stored, table
+from .common import parts, table
 
-ADD, DISCOUNT, GAIN = 0.1, 0.6, 2.0
-HELD_OUT = 10
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
+ADD, DISCOUNT, GAIN, DEPTH = 0.1, 0.6, 2.0, 3
+HELD_OUT, SPARE = 10, 18
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 END, START = np.uint64(0x1234567890ABCDEF), np.uint64(0xFEDCBA0987654321)
-WORD, PAIR, CONTEXT, TRIPLE, DEEP = range(5)
+_END_KEY, _START_KEY = B.mix64(np.array([END, START]))
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What all blocks know: shards, bits of an n-gram's key, training tokens and different ones."""
+
+    shards: int
+    bits: int
+    n: int = 0
+    v: int = 0
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -43,259 +57,276 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class Grams:
-    """The symbols of a block: each with the one before (before) and the pair that ends before it."""
-
-    def __init__(self, block: B.Block):
-        n, sizes = len(block.words), block.sizes
-        end, start = n, n + 1
-        self.hashes = np.concatenate([block.words, np.array([END, START])])
-        self.n_symbols = sizes + 1
-        self.ends = np.cumsum(self.n_symbols)
-        total = int(self.ends[-1]) if len(sizes) else 0
-        self.symbol = np.full(total, end, np.int64)
-        body = np.ones(total, bool)
-        body[self.ends - 1] = False
-        self.symbol[body] = block.tokens
-        self.before = np.empty(total, np.int64)
-        self.before[1:] = self.symbol[:-1]
-        first = self.ends - self.n_symbols
-        self.before[first] = start
-        self.held = np.array([held_out(d) for d in block.doc_ids], bool)
-        self.train = np.repeat(~self.held, self.n_symbols)
-        self.deep = np.ones(total, bool)  # has a pair before it
-        self.deep[first] = False
-        width = n + 2
-        self.pairs, self.pair = np.unique(self.before * width + self.symbol, return_inverse=True)
-        self.pair_left, self.pair_right = self.pairs // width, self.pairs % width
-        self.width = width
-        h = self.hashes
-        self.word_keys = B.mix64(h)
-        self.pair_keys = B.mix64(h[self.pair_left] * _ODD[0] + h[self.pair_right] * _ODD[1] + np.uint64(1))
-        self.word_own = np.bincount(self.symbol, self.train, width).astype(np.int32)
-        self.pair_own = np.bincount(self.pair, self.train, len(self.pairs)).astype(np.int32)
-
-    def triples(self, repeated: np.ndarray) -> None:
-        """Finds the triples whose first two are a pair in `repeated` (flags of pairs)."""
-        at = np.flatnonzero(self.deep)
-        at = at[repeated[self.pair[at - 1]]]
-        self.deep_at = at
-        self.triples_, self.triple = np.unique(self.pair[at - 1] * self.width + self.symbol[at], return_inverse=True)
-        self.triple_context, self.triple_right = self.triples_ // self.width, self.triples_ % self.width
-        h, left = self.hashes, self.triple_context
-        self.triple_keys = B.mix64(h[self.pair_left[left]] * _ODD[2] + h[self.pair_right[left]] * _ODD[0] + h[self.triple_right] * _ODD[1] + np.uint64(2))
-        self.triple_own = np.bincount(self.triple, self.train[at], len(self.triples_)).astype(np.int32)
-
-
-def _ask(kind: int, block: int, keys: np.ndarray, own: np.ndarray, shards: int, **more: np.ndarray) -> Iterator[dict]:
-    """Requests: a block's distinct keys with its own counts, or with sums that it adds to contexts."""
-    order, spans = B.by_shard(keys, shards)
-    for shard, a, b in spans:
-        at = order[a:b]
-        row = {"shard": shard, "kind": kind, "block": block, "keys": B.pack_keys(keys[at]), "own": B.pack(own[at]), "sums": b""}
-        if more:
-            row["sums"] = more["sums"][at].tobytes()
-        yield row
+    """The distinct n-grams of one order that a block asks about: keys ascending, each with its training count in the block
+    (own) and a place where it ends (at). number: of the n-gram that ends at a place, -1 if none does."""
+
+    def __init__(self, keys: np.ndarray, places: np.ndarray, train: np.ndarray, total: int):
+        order = B.sorted_order(keys)
+        found = keys[order]
+        new = np.ones(len(found), bool)
+        new[1:] = found[1:] != found[:-1]
+        ordered = places[order]
+        starts = np.flatnonzero(new)
+        self.keys, self.at = found[starts], ordered[starts]
+        self.number = np.full(total, -1, np.int32)
+        self.number[ordered] = np.cumsum(new, dtype=np.int32) - 1
+        self.own = np.add.reduceat(train[ordered], starts, dtype=np.int32) if len(starts) else np.zeros(0, np.int32)
+
 
+def _pack_mask(mask: np.ndarray) -> bytes:
+    return B.pack(np.packbits(mask))
 
-ASKED = "shard int, kind int, block long, keys binary, own binary, sums binary"
-SAID = "block long, kind int, shard int, at binary, count binary, flag binary, total long, seen long"
 
+def _unpack_mask(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(B.unpack(packed, np.uint8), count=n).astype(bool)
 
-def _counts(kind: int, rows: list[dict]) -> Iterator[dict]:
-    """Answers: the counts that a block can't know by itself; flag: the block is to add this n-gram up for all."""
+
+ASKED = "shard int, kind int, block long, keys binary, own binary, kinds binary, mass binary, gain binary"
+SAID = "block long, kind int, shard int, tell binary, count binary, flag binary, total long, seen long"
+
+
+def _ask(kind: int, block: int, c: Corpus, bits: int, keys: np.ndarray, own: np.ndarray, sums: tuple[np.ndarray, ...] | None = None) -> Iterator[dict]:
+    """Requests: ascending keys with the block's own counts, or with sums that it adds to contexts (own: their counts)."""
+    for shard, a, b in B.ranges(keys, bits, c.shards):
+        row = {"shard": shard, "kind": kind, "block": block, "keys": B.pack_keys(keys[a:b]), "own": B.pack(own[a:b].astype(np.int32)), "kinds": None, "mass": None, "gain": None}
+        if sums is not None:
+            kinds, mass, gain = (s[a:b] for s in sums)
+            row |= {"kinds": B.pack(kinds.astype(np.int32)), "mass": B.pack(mass.astype(np.int32)), "gain": B.pack(gain)}
+        yield row
+
+
+def _numbered(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """The keys of each row, and over all rows the number of each key, and how many there are."""
+    keys = [B.unpack_keys(r["keys"]) for r in rows]
+    every = np.concatenate(keys)
+    order = B.sorted_order(every)
+    found = every[order]
+    new = np.ones(len(every), bool)
+    new[1:] = found[1:] != found[:-1]
+    where = np.empty(len(every), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return keys, where, int(new.sum())
+
+
+def _counts(rows: list[dict]) -> Iterator[dict]:
+    """Answers: counts over 1 of n-grams, of words all that a block can't know by itself; flag: the block is to add this
+    n-gram up for all."""
     rows = sorted(rows, key=lambda r: r["block"])
-    keys, own = [B.unpack_keys(r["keys"]) for r in rows], [B.unpack(r["own"], np.int32) for r in rows]
-    every, where = np.unique(np.concatenate(keys), return_inverse=True)
-    mine = np.concatenate(own)
-    total = np.bincount(where, mine, len(every)).astype(np.int64)
+    keys, where, n = _numbered(rows)
+    mine = np.concatenate([B.unpack(r["own"], np.int32) for r in rows])
+    total = np.bincount(where, mine, n).astype(np.int64)
     holders = np.flatnonzero(mine > 0)
-    owner = np.full(len(every), -1, np.int64)
+    owner = np.full(n, -1, np.int64)
     owner[where[holders[::-1]]] = holders[::-1]  # the first holder
-    if kind == WORD:
-        yield {"block": -1, "kind": kind, "shard": rows[0]["shard"], "at": b"", "count": b"", "flag": b"", "total": int(total.sum()), "seen": int((total > 0).sum())}
+    words = rows[0]["kind"] == 2
+    if words:
+        yield _said(-1, 2, rows[0]["shard"], total=int(total.sum()), seen=int((total > 0).sum()))
+    count = total[where]
+    tell = count != mine if words else count > 1
+    flag = owner[where] == np.arange(len(where))
     a = 0
     for r, k in zip(rows, keys, strict=True):
-        span = slice(a, a + len(k))
-        c, o = total[where[span]], mine[span]
-        tell = np.flatnonzero((c != o) if kind == WORD else (c > 1) | ((c == 1) & (o == 0)))
-        flag = owner[where[span]][tell] == tell + a
-        yield {"block": r["block"], "kind": kind, "shard": r["shard"], "at": B.pack(tell.astype(np.int32)), "count": B.pack(c[tell].astype(np.int32)), "flag": np.packbits(flag).tobytes(), "total": 0, "seen": 0}
+        own = slice(a, a + len(k))
+        t = tell[own]
+        yield _said(r["block"], r["kind"], r["shard"], _pack_mask(t), B.pack(count[own][t].astype(np.int32)), _pack_mask(flag[own][t]))
         a += len(k)
 
 
-def _states(kind: int, rows: list[dict]) -> Iterator[dict]:
-    """Answers: which contexts are states, with the number of different words that follow (count)."""
-    keys = [B.unpack_keys(r["keys"]) for r in rows]
-    every, where = np.unique(np.concatenate(keys), return_inverse=True)
-    times = np.zeros(len(every), np.int64)
+def _states(rows: list[dict]) -> Iterator[dict]:
+    """Answers: which contexts are states, with the number of repeated words that follow and the times others do."""
+    rows = sorted(rows, key=lambda r: r["block"])  # sums of fractions depend on their order
+    keys, where, n = _numbered(rows)
+    times = np.zeros(n, np.int64)
     times[where] = np.concatenate([B.unpack(r["own"], np.int32) for r in rows])  # every block knows the context's count
-    sums = np.concatenate([np.frombuffer(r["sums"], np.float64).reshape(-1, 3) for r in rows])
-    kinds, mass, gain = (np.bincount(where, sums[:, j], len(every)) for j in range(3))
+    kinds, mass, gain = (np.bincount(where, np.concatenate([B.unpack(r[c], t) for r in rows]), n) for c, t in (("kinds", np.int32), ("mass", np.int32), ("gain", np.float64)))
     once = times - mass
-    follow = once + kinds
-    alone = np.where(once > 0, once * np.log(np.maximum(DISCOUNT * (follow - 1), DISCOUNT / 2) / np.maximum(times - 1, 1)), 0)
-    state = (kinds > 0) & (gain + alone > GAIN)
+    alone = np.where(once > 0, once * np.log(np.maximum(DISCOUNT * (once + kinds - 1), DISCOUNT / 2) / np.maximum(times - 1, 1)), 0)
+    state = ((kinds > 0) & (gain + alone > GAIN))[where]
+    kinds, once = kinds[where].astype(np.int32), once[where].astype(np.int32)
     a = 0
     for r, k in zip(rows, keys, strict=True):
-        own = where[a : a + len(k)]
-        tell = np.flatnonzero(state[own])
-        yield {"block": r["block"], "kind": kind, "shard": r["shard"], "at": B.pack(tell.astype(np.int32)), "count": B.pack(follow[own][tell].astype(np.int32)), "flag": b"", "total": 0, "seen": 0}
+        own = slice(a, a + len(k))
+        t = state[own]
+        yield _said(r["block"], r["kind"], r["shard"], _pack_mask(t), B.pack(kinds[own][t]), B.pack(once[own][t]))
         a += len(k)
 
 
+def _said(block: int, kind: int, shard: int, tell: bytes = b"", count: bytes = b"", flag: bytes = b"", total: int = 0, seen: int = 0) -> dict:
+    return {"block": block, "kind": kind, "shard": shard, "tell": tell, "count": count, "flag": flag, "total": total, "seen": seen}
+
+
 def _answer(rows: list[dict]) -> Iterator[dict]:
+    """Kind 2 n: counts of n-grams; 2 n + 1: contexts of n words."""
     for kind in sorted({r["kind"] for r in rows}):
         own = [r for r in rows if r["kind"] == kind]
-        yield from (_states if kind in (CONTEXT, DEEP) else _counts)(kind, own)
-
-
-def _heard(said: list[dict], kind: int, keys: np.ndarray, own: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all keys, and the flags."""
-    out, flags = own.astype(np.int64), np.zeros(len(keys), bool)
-    order, spans = B.by_shard(keys, shards)
-    start = {shard: a for shard, a, _ in spans}
-    for r in said:
-        if r["kind"] == kind:
-            at = order[start[r["shard"]] + B.unpack(r["at"], np.int32)]
-            out[at] = B.unpack(r["count"], np.int32)
-            if r["flag"]:
-                flags[at] = np.unpackbits(np.frombuffer(r["flag"], np.uint8))[: len(at)].astype(bool)
-    return out, flags
+        yield from (_states if kind % 2 else _counts)(own)
 
 
 class Model:
-    """What a block has heard so far. totals: training tokens, different ones, training texts (so often a text starts)."""
-
-    def __init__(self, block: B.Block, said: list[dict], totals: tuple[int, int, int], shards: int):
-        self.said, self.shards = said, shards
-        self.grams = g = Grams(block)
-        n, v, starts = totals
-        self.count, _ = _heard(said, WORD, g.word_keys[:-1], g.word_own[:-1], shards)
-        self.root = (self.count + ADD) / (n + ADD * (v + 1))
-        self.pair_count, self.pair_flag = _heard(said, PAIR, g.pair_keys, g.pair_own, shards)
-        self.times = np.concatenate([self.count, [starts]])  # of a word as a context
-        self.times[-2] = 0  # nothing follows an end
-
-    def contexts(self) -> np.ndarray:
-        """Words that may be states."""
-        return np.flatnonzero(self.times > 1)
-
-    def pair_contexts(self) -> np.ndarray:
-        return np.flatnonzero((self.pair_count > 1) & (self.grams.pair_right != self.grams.width - 2))
-
-    def sums(self, where: np.ndarray, size: int, count: np.ndarray, times: np.ndarray, below: np.ndarray, flag: np.ndarray) -> np.ndarray:
-        """Per context: repeated n-grams, their occurrences, and their part of the test; each n-gram is added by one block."""
-        at = np.flatnonzero(flag & (count > 1))
-        c, t = count[at].astype(float), times[at].astype(float)
-        gain = c * (np.log((c - 1 - DISCOUNT) / np.maximum(t - 1, 1)) - np.log(below[at]))
-        return np.stack([np.bincount(where[at], x, size) for x in (np.ones(len(at)), c, gain)], 1)
+    """A block with what it has heard so far, order by order. Arrays are by place: the start of each text and its symbols."""
 
-    def one(self) -> np.ndarray:
-        """P(right | left) of each pair, by the states of one word."""
+    def __init__(self, block: B.Block, said: list[dict], c: Corpus):
+        self.block, self.said, self.c = block, said, c
+        n, lengths = len(block.words), block.sizes + 2
+        ends = np.cumsum(lengths)
+        firsts, total = ends - lengths, int(ends[-1]) if len(lengths) else 0
+        body = np.ones(total, bool)
+        body[firsts] = body[ends - 1] = False
+        symbol = np.empty(total, np.int32)
+        symbol[body], symbol[ends - 1], symbol[firsts] = block.tokens, n, n + 1
+        self.total, self.firsts = total, firsts
+        self.before = (np.arange(total) - np.repeat(firsts, lengths)).astype(np.int32)  # places before it in its text
+        self.held = np.array([held_out(d) for d in block.doc_ids], bool)
+        self.train = np.repeat(~self.held, lengths)
+        self.hashed = B.mix64(np.concatenate([block.words, np.array([END, START])]))[symbol]
+        self.chain = self.hashed  # of the n-gram of this order that ends at a place
+        self.order = 1
+        self.grams = Grams(self.hashed, np.arange(total), self.train, total)
+        self.words = self.grams.keys != _START_KEY  # a start is a context, but no word
+        self.count: np.ndarray | None = None
+
+    def hear(self, kind: int, keys: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, dict]]:
+        """(places in keys, answer) of each answer of a kind."""
+        span = {shard: (a, b) for shard, a, b in B.ranges(keys, bits, self.c.shards)}
+        for r in self.said:
+            if r["kind"] == kind:
+                a, b = span[r["shard"]]
+                yield np.flatnonzero(_unpack_mask(r["tell"], b - a)) + a, r
+
+    def heard_words(self) -> None:
+        """Order 1: counts, and the root's distribution."""
         g = self.grams
-        words = self.contexts()
-        follow, _ = _heard(self.said, CONTEXT, g.word_keys[words], np.zeros(len(words), np.int32), self.shards)
-        u = np.zeros(g.width)
-        u[words] = follow
-        left, root = g.pair_left, self.root[g.pair_right]
-        t = np.maximum(self.times[left], 1)
-        own = np.maximum(self.pair_count - DISCOUNT, 0) / t + DISCOUNT * u[left] / t * root
-        return np.where(u[left] > 0, own, root)
-
-
-def _first(shards: int):
+        heard = g.own[self.words]
+        for at, r in self.hear(2, g.keys[self.words], 64):
+            heard[at] = B.unpack(r["count"], np.int32)
+        count = np.empty(len(g.keys), np.int32)
+        count[self.words] = heard
+        count[~self.words] = count[g.keys == _END_KEY][:1]  # texts start as often as they end
+        self.count = count[g.number]
+        self.p = (self.count + ADD) / (self.c.n + ADD * (self.c.v + 1))
+        self.root, self.known = self.p.copy(), self.count > 0
+
+    def next_order(self) -> None:
+        """The n-grams of the next order that can repeat."""
+        self.order += 1
+        fits = self.before >= self.order - 1
+        if self.count is not None:
+            self.times = np.zeros(self.total, np.int32)  # of the context
+            self.times[1:] = self.count[:-1]
+            self.follows = fits & (self.times > 1)
+        if self.order > 2:  # words and pairs are asked about together
+            fits = self.follows & (self.count > 1)
+        chain = np.zeros(self.total, np.uint64)
+        chain[1:] = B.mix64(self.chain[:-1] * _ODD + self.hashed[1:])
+        self.chain, self.contexts = chain, self.grams
+        at = np.flatnonzero(fits)
+        self.grams = Grams(chain[at] >> np.uint64(64 - self.c.bits), at, self.train, self.total)
+
+    def heard_counts(self) -> None:
+        """Counts of the n-grams of this order that repeat, 0 of others."""
+        g = self.grams
+        self.found, self.flag = np.zeros(len(g.keys) + 1, np.int32), np.zeros(len(g.keys), bool)
+        for at, r in self.hear(2 * self.order, g.keys, self.c.bits):
+            self.found[at] = B.unpack(r["count"], np.int32)
+            self.flag[at] = _unpack_mask(r["flag"], len(at))
+        self.count = self.found[g.number]  # the last where there is none
+
+    def asked_contexts(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers of the contexts that may be states, their counts, bits of their keys."""
+        times = np.zeros(len(self.contexts.keys), np.int32)
+        at = np.flatnonzero(self.follows)
+        times[self.contexts.number[at - 1]] = self.times[at]
+        which = np.flatnonzero(times)
+        return which, times[which], 64 if self.order == 2 else self.c.bits
+
+    def context_sums(self) -> Iterator[dict]:
+        """Per context: repeated n-grams, their occurrences, and their part of the test; each n-gram is added by one block."""
+        which, times, bits = self.asked_contexts()
+        some = np.flatnonzero(self.flag)
+        at = self.grams.at[some]
+        c, t = self.found[some].astype(float), self.times[at].astype(float)
+        gain = c * (np.log((c - 1 - DISCOUNT) / np.maximum(t - 1, 1)) - np.log(self.p[at]))
+        where = self.contexts.number[at - 1]
+        sums = tuple(np.bincount(where, x, len(self.contexts.keys))[which] for x in (np.ones(len(at)), c, gain))
+        yield from _ask(2 * self.order - 1, self.block.id, self.c, bits, self.contexts.keys[which], times, sums)
+
+    def heard_states(self) -> None:
+        """P by the states of one word more."""
+        which, _, bits = self.asked_contexts()
+        rest = np.zeros(len(self.contexts.keys))  # times that a state leaves to its suffix
+        for at, r in self.hear(2 * self.order - 1, self.contexts.keys[which], bits):
+            rest[which[at]] = B.unpack(r["flag"], np.int32) + DISCOUNT * B.unpack(r["count"], np.int32)
+        at = np.flatnonzero(self.follows)
+        own = rest[self.contexts.number[at - 1]]
+        at, own = at[own > 0], own[own > 0]
+        t = self.times[at]
+        self.p[at] = (np.maximum(self.count[at] - DISCOUNT, 0) + own * self.p[at]) / t
+
+
+def _first(c: Corpus):
     def f(block: B.Block) -> Iterator[dict]:
-        g = Grams(block)
-        yield from _ask(WORD, block.id, g.word_keys[:-1], g.word_own[:-1], shards)
-        yield from _ask(PAIR, block.id, g.pair_keys, g.pair_own, shards)
+        m = Model(block, [], c)
+        yield from _ask(2, block.id, c, 64, m.grams.keys[m.words], m.grams.own[m.words])
+        m.next_order()
+        yield from _ask(4, block.id, c, c.bits, m.grams.keys, m.grams.own)
 
     return f
 
 
-def _second(shards: int, totals: tuple[int, int, int]):
-    def f(block: B.Block, said: list[dict]) -> Iterator[dict]:
-        m = Model(block, said, totals, shards)
-        g = m.grams
-        words = m.contexts()
-        sums = m.sums(g.pair_left, g.width, m.pair_count, m.times[g.pair_left], m.root[g.pair_right], m.pair_flag)
-        yield from _ask(CONTEXT, block.id, g.word_keys[words], m.times[words].astype(np.int32), shards, sums=sums[words])
-        g.triples(m.pair_count > 1)
-        yield from _ask(TRIPLE, block.id, g.triple_keys, g.triple_own, shards)
-
-    return f
-
+def _heard(block: B.Block, said: list[dict], c: Corpus, order: int) -> Model:
+    """All counts up to order, and P by the states of up to order - 2 words."""
+    m = Model(block, said, c)
+    m.heard_words()
+    m.next_order()
+    m.heard_counts()
+    while m.order < order:
+        m.heard_states()
+        m.next_order()
+        m.heard_counts()
+    return m
 
-def _deep(m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each triple: count, flag, times of its context, P(right | one word)."""
-    g = m.grams
-    g.triples(m.pair_count > 1)
-    count, flag = _heard(m.said, TRIPLE, g.triple_keys, g.triple_own, m.shards)
-    one = m.one()
-    below = np.zeros(len(g.triples_))
-    below[g.triple] = one[g.pair[g.deep_at]]
-    return count, flag, m.pair_count[g.triple_context], below
 
+def _next(c: Corpus, order: int, depth: int):
+    """Puts the contexts of order - 1 words to the test, and asks for the n-grams of order + 1."""
 
-def _third(shards: int, totals: tuple[int, int, int]):
     def f(block: B.Block, said: list[dict]) -> Iterator[dict]:
-        m = Model(block, said, totals, shards)
-        g = m.grams
-        count, flag, times, below = _deep(m)
-        sums = m.sums(g.triple_context, len(g.pairs), count, times, below, flag)
-        at = m.pair_contexts()
-        yield from _ask(DEEP, block.id, g.pair_keys[at], m.pair_count[at].astype(np.int32), shards, sums=sums[at])
+        m = _heard(block, said, c, order)
+        yield from m.context_sums()
+        if order <= depth:
+            m.next_order()
+            yield from _ask(2 * m.order, block.id, c, c.bits, m.grams.keys, m.grams.own)
 
     return f
 
 
-def _score(shards: int, totals: tuple[int, int, int]):
+def _score(c: Corpus, depth: int):
     def f(block: B.Block, said: list[dict]) -> Iterator[dict]:
-        m = Model(block, said, totals, shards)
-        g = m.grams
-        count, _, times, below = _deep(m)
-        at = m.pair_contexts()
-        follow, _ = _heard(said, DEEP, g.pair_keys[at], np.zeros(len(at), np.int32), shards)
-        u = np.zeros(len(g.pairs))
-        u[at] = follow
-        u, t = u[g.triple_context], np.maximum(times, 1)
-        deep = np.where(u > 0, np.maximum(count - DISCOUNT, 0) / t + DISCOUNT * u / t * below, below)
-        p = m.one()[g.pair]
-        p[g.deep_at] = deep[g.triple]
-        doc = np.repeat(np.arange(len(g.n_symbols)), g.n_symbols)
-        n = len(g.n_symbols)
-        base = np.bincount(doc, np.log10(m.root[g.symbol]), n)
-        score = np.bincount(doc, np.log10(p), n)
-        known = np.bincount(doc, m.count[g.symbol] > 0, n).astype(np.int64)
+        m = _heard(block, said, c, 1 + depth)
+        m.heard_states()
+        scored, n_symbols = m.before > 0, block.sizes + 1
+        doc = np.repeat(np.arange(len(n_symbols)), n_symbols)
+        base, score, known = (np.bincount(doc, x[scored], len(n_symbols)) for x in (np.log10(m.root), np.log10(m.p), m.known))
         for i, doc_id in enumerate(block.doc_ids):
-            yield {"doc_id": doc_id, "held_out": bool(g.held[i]), "n_tokens": int(g.n_symbols[i]), "n_known": int(known[i]), "train_tokens": totals[0], "base_score": float(base[i]), "score": float(score[i])}
+            yield {"doc_id": doc_id, "held_out": bool(m.held[i]), "n_tokens": int(n_symbols[i]), "n_known": int(known[i]), "train_tokens": c.n, "base_score": float(base[i]), "score": float(score[i])}
 
     return f
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each of docs (doc_id, text, ...)."""
-    shards = parts(docs.sparkSession)
     held = B.build(docs, by_block=True)
-
-    def exchange(asked: DataFrame) -> DataFrame:
-        return stored(B.per_shard(asked, _answer, SAID))
-
-    first = exchange(B.per_block(held, _first(shards), ASKED))
-    sums = first.where("block = -1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("seen"), F.lit(0)).alias("v")).first()
-    totals = (sums.n, sums.v, _training(held))
-    told = first.where("block >= 0")
-    second = exchange(B.with_answers(held, told, _second(shards, totals), ASKED))
-    told = told.union(second)
-    third = exchange(B.with_answers(held, told, _third(shards, totals), ASKED))
-    told = told.union(third)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return B.with_answers(held, told, _score(shards, totals), schema)
-
-
-def _training(held: DataFrame) -> int:
-    """Training documents: how often a text starts."""
-    folded = F.pmod(F.crc32(F.coalesce(F.col("d").cast("string"), F.lit("")).cast("binary")), F.lit(HELD_OUT))
-    return held.select(F.explode("doc_ids").alias("d")).where(folded != 0).count()
+    words = held.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    c = Corpus(parts(docs.sparkSession), min(64, max(40, int(words).bit_length() + SPARE)))
+    told = B.told(B.per_shard(B.per_block(held, _first(c), ASKED), _answer, SAID))
+    sums = told.where("block = -1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("seen"), F.lit(0)).alias("v")).first()
+    c = replace(c, n=sums.n, v=sums.v)
+
+    def step(f: Callable, schema: str) -> DataFrame:
+        return B.with_answers(held, told.where("block >= 0"), f, schema)
+
+    for order in range(2, depth + 2):
+        told = B.told(B.per_shard(step(_next(c, order, depth), ASKED), _answer, SAID), told)
+    return step(_score(c, depth), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,56 +11,49 @@ D = S.DISCOUNT
 
 
 class Brute:
-    def __init__(self, rows):
+    """All n-grams counted in dictionaries."""
+
+    def __init__(self, rows, depth=S.DEPTH):
         self.words = [((t or "").encode().lower().split() + [None]) for _, t, *_ in rows]
         self.held = [zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0 for d, *_ in rows]
-        self.one, self.two, self.three, self.starts = Counter(), Counter(), Counter(), 0
+        self.grams, self.one, self.depth = Counter(), Counter(), depth
         for w, h in zip(self.words, self.held, strict=True):
             if not h:
-                s = ["start", *w]
-                self.starts += 1
                 self.one.update(w)
-                self.two.update(zip(s, s[1:], strict=False))
-                self.three.update(zip(s, s[1:], s[2:], strict=False))
+                s = ("start", *w)
+                self.grams.update(s[i : i + m] for m in range(1, depth + 2) for i in range(len(s) - m + 1))
         self.n, self.v = sum(self.one.values()), len(self.one)
         follow = defaultdict(list)
-        for (a, b), c in self.two.items():
-            follow[a].append((b, c))
-        self.u1 = {a: self.state(self.times(a), f, self.root) for a, f in follow.items()}
-        follow = defaultdict(list)
-        for (a, b, x), c in self.three.items():
-            follow[a, b].append((x, c))
-        self.u2 = {k: self.state(self.two[k], f, lambda x, k=k: self.p1(k[1], x)) for k, f in follow.items()}
-
-    def times(self, a):
-        return self.starts if a == "start" else self.one[a]
+        for g, c in self.grams.items():
+            if len(g) > 1:
+                follow[g[:-1]].append((g[-1], c))
+        self.rest = {}  # of states: times left to the suffix
+        for s in sorted(follow, key=len):
+            self.rest[s] = self.state(s, follow[s])
 
     def root(self, b):
         return (self.one[b] + 0.1) / (self.n + 0.1 * (self.v + 1))
 
-    def state(self, times, follow, below):
-        often = [(b, c) for b, c in follow if c > 1]
+    def state(self, s, follow):
+        times, often = self.grams[s], [(b, c) for b, c in follow if c > 1]
         if times < 2 or not often:
             return 0
-        gain = sum(c * (math.log((c - 1 - D) / (times - 1)) - math.log(below(b))) for b, c in often)
+        gain = sum(c * (math.log((c - 1 - D) / (times - 1)) - math.log(self.p(s[1:], b))) for b, c in often)
         once = times - sum(c for _, c in often)
-        u = once + len(often)
         if once:
-            gain += once * math.log(max(D * (u - 1), D / 2) / (times - 1))
-        return u if gain > S.GAIN else 0
+            gain += once * math.log(max(D * (once + len(often) - 1), D / 2) / (times - 1))
+        return once + D * len(often) if gain > S.GAIN else 0
 
-    def p1(self, a, b):
-        u = self.u1.get(a, 0)
-        return max(self.two[a, b] - D, 0) / self.times(a) + D * u / self.times(a) * self.root(b) if u else self.root(b)
-
-    def p2(self, a, b, x):
-        u, t = self.u2.get((a, b), 0), self.two[a, b]
-        return max(self.three[a, b, x] - D, 0) / t + D * u / t * self.p1(b, x) if u else self.p1(b, x)
+    def p(self, s, b):
+        if not s:
+            return self.root(b)
+        rest, t, c = self.rest.get(s, 0), self.grams[s], self.grams[(*s, b)]
+        return ((c - D if c > 1 else 0) + rest * self.p(s[1:], b)) / t if rest else self.p(s[1:], b)
 
     def rows(self, ids):
         for d, w, h in zip(ids, self.words, self.held, strict=True):
-            s = ["start", *w]
-            score = math.log10(self.p1("start", w[0])) + sum(math.log10(self.p2(*s[j - 2 : j + 1])) for j in range(2, len(s)))
+            s = ("start", *w)
+            score = sum(math.log10(self.p(s[max(0, j - self.depth) : j], s[j])) for j in range(1, len(s)))
             yield d, h, len(w), sum(self.one[b] > 0 for b in w), self.n, sum(math.log10(self.root(b)) for b in w), score
 
 
@@ -91,13 +84,38 @@ def test_repeated_passages_are_learned(documents):
     assert sum(g[6] for g in held) > 0.8 * sum(g[5] for g in held)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 6])
+def test_depth(documents, depth):
+    r = random.Random(3)
+    lines = [" ".join(f"w{r.randrange(12)}" for _ in range(9)) for _ in range(6)]
+    rows = [(i, " ".join(r.choice(lines) for _ in range(r.randrange(5))), "en", "s") for i in range(60)]
+    expected = sorted(Brute(rows, depth).rows([d for d, *_ in rows]), key=key)
+    got = sorted((tuple(x) for x in S.score_documents(documents(rows).repartition(3), depth).collect()), key=key)
+    assert [g[6] for g in got] == pytest.approx([e[6] for e in expected], rel=1e-9)
+
+
+def test_longer_contexts_tell_more(documents):
+    """Two words are ambiguous here, more are not."""
+    r = random.Random(5)
+    passages = [" ".join(f"w{r.randrange(8)}" for _ in range(80)) for _ in range(12)]
+    rows = [(i, passages[i % 12], "en", "s") for i in range(60)]
+    scores = [sum(x.score for x in S.score_documents(documents(rows), d).collect() if x.held_out) for d in (2, S.DEPTH)]
+    assert scores[1] > 0.8 * scores[0]
+
+
 def test_states_sum_to_one():
     r = random.Random(2)
     rows = [(i, " ".join(r.choice("a b c d e".split()) for _ in range(50)) + " x y z" * 4, "en", "s") for i in range(30)]
     b = Brute(rows)
     unseen = 0.1 / (b.n + 0.1 * (b.v + 1))
-    for k in [k for k, u in b.u2.items() if u][:5]:
-        total = sum(b.p2(*k, w) for w in b.one)
-        t, u = b.two[k], b.u2[k]
-        p1_unseen = D * b.u1[k[1]] / b.times(k[1]) * unseen if b.u1.get(k[1]) else unseen
-        assert total + D * u / t * p1_unseen == pytest.approx(1)
+
+    def mass(s):
+        """Of an unknown word after s."""
+        if not s:
+            return unseen
+        return (b.rest[s] / b.grams[s] if b.rest.get(s) else 1) * mass(s[1:])
+
+    states = [s for s, rest in b.rest.items() if rest]
+    assert {len(s) for s in states} >= {1, 3}
+    for s in states[::7]:
+        assert sum(b.p(s, w) for w in b.one) + mass(s) == pytest.approx(1)
