@@ -4,23 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import crop as C
 from ..operators import models as M
+from ..operators import output as O
 from ..operators import selection as S
 from ..recon import planes as P
+from ..store import kept
 from . import views as V
 
+PCS = [pc for pc, *_ in V.SOURCES]
+#: Raster cell for thinning, density ceilings of the two kinds of models (points a square metre).
+THIN_CELL, CEILING, BLOCK_CEILING = 200, 0.75, 0.25
+
 
 def _cropped(spark: SparkSession, d: str) -> DataFrame:
     return C.crop(V.points(spark, d), V.footprint(spark, d))
 
 
-def _stats(spark: SparkSession, d: str) -> DataFrame:
-    return C.building_stats(_cropped(spark, d), V.footprint(spark, d))
+def _stats(spark: SparkSession, d: str, cropped: DataFrame | None = None) -> DataFrame:
+    return C.building_stats(kept(_cropped(spark, d)) if cropped is None else cropped, V.footprint(spark, d), PCS)
 
 
 def crop_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -35,28 +41,69 @@ def building_stats(spark: SparkSession, d: str) -> DataFrame:
     return _stats(spark, d)
 
 
+def _thinned(spark: SparkSession, d: str, density: float) -> DataFrame:
+    thin = C.thin(_cropped(spark, d), C.most_in_cell(density, THIN_CELL), THIN_CELL)
+    return thin.groupBy("fid", "pc").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"])
+
+
 def thinned(spark: SparkSession, d: str) -> DataFrame:
-    return C.thin(_cropped(spark, d)).groupBy("fid", "pc").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum("z").alias("sz"))
+    return _thinned(spark, d, CEILING)
+
+
+def thinned_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _thinned(spark, d, BLOCK_CEILING)
 
 
 def tiles(spark: SparkSession, d: str) -> DataFrame:
     return C.tile(V.footprint(spark, d))
 
 
+def tile_order(spark: SparkSession, d: str) -> DataFrame:
+    return C.in_order(C.tile(V.footprint(spark, d)))
+
+
 def areas(spark: SparkSession, d: str) -> DataFrame:
-    return V.footprint(spark, d).select("fid", G.area2("ring").alias("area2"), F.size(G.counter_clockwise(F.reverse("ring"))).alias("n_corners"), G.area2(G.counter_clockwise(F.reverse("ring"))).alias("area2_turned"))
+    turned = G.counter_clockwise(F.reverse("ring"))
+    return V.footprint(spark, d).select("fid", G.area2_of(F.col("rings")).alias("area2"), F.size(turned).alias("n_corners"), G.area2(turned).alias("area2_outer"), F.size("rings").alias("n_rings"))
+
+
+def rings_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Rings with a closing vertex, and one vertex a little away from another, come back as they were."""
+    ring = F.col("ring")
+    near = F.struct((ring[0]["x"] + 1).alias("x"), (ring[0]["y"] - 1).alias("y"))
+    bad = V.footprint(spark, d).select("fid", F.concat(F.slice(ring, 1, 1), F.array(near), F.slice(ring, 2, 100), F.slice(ring, 1, 1)).alias("ring"))
+    good = bad.select("fid", F.size("ring").alias("n_before"), G.without_repeats(G.open_ring(F.col("ring")), 2).alias("ring"))
+    return good.select("fid", "n_before", F.size("ring").alias("n_corners"), G.area2("ring").alias("area2_outer"), G.degenerate(F.col("ring")).alias("degenerate"))
+
+
+def file_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return C.files_of_tiles(C.file_index(V.points(spark, d), 10_000), V.footprint(spark, d))
+
+
+def aoi_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Points of an area of interest, by acquisition and class, and how many of its buildings an attribute filter keeps."""
+    x0, y0, x1, y1 = V.EAST + 1000, V.NORTH + 1000, V.EAST + 9000, V.NORTH + 9000
+    found = V.points(spark, d).where(f"x >= {x0} AND x < {x1} AND y >= {y0} AND y < {y1}").groupBy("pc", "cls").agg(F.count("*").alias("n"), F.max(G.gps_year(F.col("gps"))).cast("long").alias("last_year"))
+    own = C.boxed(V.footprint(spark, d).where("built < 2015 AND nation >= 5")).where(f"x0 < {x1} AND x1 > {x0} AND y0 < {y1} AND y1 > {y0}")
+    return found.unionByName(own.agg(F.lit("footprints").alias("pc"), F.lit(0).alias("cls"), F.count("*").alias("n"), F.max("built").cast("long").alias("last_year")))
 
 
 def z98(spark: SparkSession, d: str) -> DataFrame:
-    return _cropped(spark, d).where("inside").groupBy("fid").agg(G.rank_round(F.collect_list("z"), 0.98).alias("z98"), F.count("*").alias("n"))
+    return G.percentiles(_cropped(spark, d).where("inside"), ["fid"], "z", {"z98": ("round", 0.98)}).select("fid", "z98", "n")
 
 
 def mutations(spark: SparkSession, d: str) -> DataFrame:
-    return S.mutation(C.bands(_cropped(spark, d)), C.mask(V.footprint(spark, d)), V.pc_source(spark))
+    return S.mutation(C.bands(_cropped(spark, d)), C.mask(V.footprint(spark, d)), S.consecutive(V.pc_source(spark)))
 
 
 def selection(spark: SparkSession, d: str) -> DataFrame:
-    return S.select(_stats(spark, d), V.pc_source(spark), mutations(spark, d))
+    cropped, sources = kept(_cropped(spark, d)), V.pc_source(spark)
+    moved = S.mutation(C.bands(cropped), C.mask(V.footprint(spark, d)), S.all_pairs(sources))
+    return S.select(_stats(spark, d, cropped), sources, moved)
+
+
+def year_override(spark: SparkSession, d: str) -> DataFrame:
+    return S.override(selection(spark, d), V.footprint(spark, d), V.pc_source(spark))
 
 
 def terrain_source(spark: SparkSession, d: str) -> DataFrame:
@@ -71,18 +118,41 @@ def terrain_triangles(spark: SparkSession, d: str) -> DataFrame:
     return M.terrain_triangles(terrain_grid(spark, d))
 
 
+def terrain_local(spark: SparkSession, d: str) -> DataFrame:
+    return M.terrain_triangles(terrain_grid(spark, d), local=True)
+
+
+def terrain_filled(spark: SparkSession, d: str) -> DataFrame:
+    """With a third of the cells of a checked pattern taken away."""
+    grid = terrain_grid(spark, d).where("(col + 2 * row) % 5 <> 0")
+    return M.fill_terrain(grid).select("col", "row", F.round("z", 6).alias("z"))
+
+
+def nodata_filled(spark: SparkSession, d: str) -> DataFrame:
+    return C.fill(C.bands(kept(_cropped(spark, d))), C.mask(V.footprint(spark, d)))
+
+
 def ground_height(spark: SparkSession, d: str) -> DataFrame:
-    return M.ground_height(_stats(spark, d), V.footprint(spark, d), terrain_grid(spark, d))
+    return M.ground_height(_stats(spark, d), V.footprint(spark, d), V.points(spark, d))
+
+
+def ground_user(spark: SparkSession, d: str) -> DataFrame:
+    stats = kept(_stats(spark, d))
+    own = lambda s: M.ground_height(stats, V.footprint(spark, d), V.points(spark, d), s).select("fid", *[F.col(c).alias(f"{c}_{s}") for c in ("ground", "origin")])
+    return own("buffer_user").join(own("user"), "fid")
 
 
 def routing(spark: SparkSession, d: str) -> DataFrame:
-    area = V.footprint(spark, d).select("fid", (F.abs(G.area2("ring")) / 2 / 10_000).alias("area"))
-    return M.route(_stats(spark, d), area)
+    return M.route(_stats(spark, d), V.footprint(spark, d), C.areas(V.footprint(spark, d)), forced=["R"])
+
+
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return routing(spark, d).groupBy("pc", "mode").agg(F.count("*").alias("n"))
 
 
 def _prisms(spark: SparkSession, d: str) -> DataFrame:
     z = F.col("fid") % 7 * 10
-    return M.prism(V.footprint(spark, d).select("fid", "ring", (300 + z).cast("long").alias("base"), (700 + 3 * z).cast("long").alias("top")))
+    return M.prism(V.footprint(spark, d).select("fid", "rings", (300 + z).cast("long").alias("base"), (700 + 3 * z).cast("long").alias("top")))
 
 
 def prism_measures(spark: SparkSession, d: str) -> DataFrame:
@@ -94,35 +164,106 @@ def prism_faces(spark: SparkSession, d: str) -> DataFrame:
     return M.orientation(_prisms(spark, d))
 
 
-def status_counts(spark: SparkSession, d: str) -> DataFrame:
-    return routing(spark, d).groupBy("pc", "mode").agg(F.count("*").alias("n"))
-
-
 def attributes(spark: SparkSession, d: str) -> DataFrame:
     """A row per building, with the figures of each acquisition as columns; the acquisitions are configuration."""
-    names = [pc for pc, *_ in V.SOURCES]
-    wide = _stats(spark, d).groupBy("fid").pivot("pc", names).agg(F.first("density").alias("density"), F.first("nodata").alias("nodata"), F.first("roof").alias("roof"))
-    return wide.select("fid", *[F.col(f"{pc}_{k}").alias(f"tk_{k}_{pc.lower()}") for pc in names for k in ("density", "nodata", "roof")])
+    wide = _stats(spark, d).groupBy("fid").pivot("pc", PCS).agg(F.first("density").alias("density"), F.first("nodata").alias("nodata"), F.first("roof").alias("roof"))
+    return O.renamed(wide, ["fid"], {f"{pc}_{k}": f"tk_{k}_{pc.lower()}" for pc in PCS for k in ("density", "nodata", "roof")})
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """A record per building: its name, file, and attributes as JSON."""
+    own = V.footprint(spark, d).join(C.tile(V.footprint(spark, d)), "fid")
+    name = O.identifier(F.when(F.col("fid") % 6 != 0, F.col("name")), F.col("fid"))
+    named = own.select("fid", name.alias("bid"), O.tile_file(F.col("tile_x") * 50, F.col("tile_y") * 50).alias("file"), "built", "force_block", "user_ground", F.to_date(F.concat("built", F.lit("-03-01"))).alias("since"))
+    told = O.as_json(O.renamed(named, ["fid", "bid", "file"], {"user_ground": ""}), ["fid", "bid", "file"])
+    return told.withColumn("path", O.path_of("out/{bid}/{pc}_{other}.laz", bid=F.col("bid"), pc=F.lit("A")))
+
+
+def circles(spark: SparkSession, d: str) -> DataFrame:
+    """Regular rings of ten corners around the buildings' corners, and what they measure."""
+    own = V.footprint(spark, d).select("fid", G.circle(F.col("ox"), F.col("oy"), (F.col("w") * 10).cast("double")).alias("ring"))
+    return own.select("fid", F.size("ring").alias("n_corners"), (G.area2("ring") / 2).alias("area"))
+
+
+def edge_angles(spark: SparkSession, d: str) -> DataFrame:
+    edges = V.footprint(spark, d).select("fid", F.explode(G.edges_of(F.col("rings"))).alias("e"))
+    return M.mean_angle(edges.select("fid", (F.col("e.x2") - F.col("e.x1")).alias("dx"), (F.col("e.y2") - F.col("e.y1")).alias("dy")))
 
 
 def overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Points within the buffers of several buildings go to the nearest ground level: the one with the most points, then the
-    smaller id. Counts by building."""
-    near = _cropped(spark, d).where("cls = 2")
-    size = near.groupBy("fid").agg(F.count("*").alias("n"))
-    best = near.join(size, "fid").groupBy("pc", "x", "y", "z", "yr").agg(F.max(F.struct("n", (-F.col("fid")).alias("k"))).alias("b"))
-    return best.groupBy((-F.col("b.k")).alias("fid")).agg(F.count("*").alias("n_points"))
+    return C.overlap(kept(_cropped(spark, d)), V.footprint(spark, d))
+
+
+def _roof_points(spark: SparkSession, d: str) -> DataFrame:
+    return _cropped(spark, d).where("inside AND cls = 6")
+
+
+def _planes(spark: SparkSession, d: str) -> DataFrame:
+    """The planes that the roofs of the views were made of, in local coordinates (x from the building's left)."""
+    w = F.col("w").cast("double")
+    up = lambda face, rise, z: F.struct(F.lit(face).alias("face"), (-rise / F.sqrt(rise * rise + 1)).alias("a"), F.lit(0.0).alias("b"), (1 / F.sqrt(rise * rise + 1)).alias("c"), (-z / F.sqrt(rise * rise + 1)).alias("d"))
+    kinds = F.when(F.col("fid") % 4 == 0, F.array(up(1, F.lit(0.0), F.lit(600.0)))).when(F.col("fid") % 4 == 1, F.array(up(1, 600 / w, F.lit(600.0)), up(2, -600 / w, F.lit(1200.0))))
+    kinds = kinds.when(F.col("fid") % 4 == 2, F.array(up(1, F.lit(0.0), F.lit(500.0)), up(2, F.lit(0.0), F.lit(900.0)))).otherwise(F.array(up(1, 400 / w, F.lit(500.0))))
+    return V.footprint(spark, d).select("fid", F.explode(kinds).alias("p")).select("fid", "p.*")
+
+
+def _off(spark: SparkSession, d: str) -> DataFrame:
+    local = _roof_points(spark, d).select("fid", "pc", (F.col("x") - F.col("ox")).alias("x"), (F.col("y") - F.col("oy")).alias("y"), "z")
+    return M.distances(local, _planes(spark, d))
+
+
+def roof_rmse(spark: SparkSession, d: str) -> DataFrame:
+    return M.rmse(_off(spark, d), "fid", "pc")
+
+
+def roof_errors(spark: SparkSession, d: str) -> DataFrame:
+    return M.error_histogram(_off(spark, d), "pc", "face")
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    cells = C.bands(_cropped(spark, d).where("cls = 6 AND pc = 'A'")).join(V.footprint(spark, d).select("fid", "w"), "fid")
+    return M.region_stats(cells.select("fid", F.floor(F.col("col") * 4 * C.CELL / F.col("w")).alias("region"), F.col("z_max").alias("z")))
+
+
+def region_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _regions(spark, d)
+
+
+def steps_merged(spark: SparkSession, d: str) -> DataFrame:
+    merged = M.merge_steps(_regions(spark, d))
+    return merged.select("fid", "n_regions", "n_merged", F.array_max("h_50p").alias("h_top"))
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("fid", "pc").orderBy("x", "y", "z", "yr")
+    return kept(_roof_points(spark, d).where("fid % 5 = 1").withColumn("i", F.row_number().over(order)))
+
+
+def nearest_points(spark: SparkSession, d: str) -> DataFrame:
+    return C.nearest(_numbered(spark, d), 5, 300).select("fid", "pc", "i", "rank", "d")
+
+
+def part_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    own = _numbered(spark, d)
+    labels = own.select("fid", "pc", "i", F.floor((F.col("x") - F.col("ox")) / 100 + 1).alias("label"))
+    return C.adjacency(C.nearest(own, 5, 300), labels)
 
 
 def roof_planes(spark: SparkSession, d: str) -> DataFrame:
-    return P.roof_planes(_cropped(spark, d).where("inside AND cls = 6"))
+    """Of the buildings that routing sends to plane detection, points thinned to a ceiling: a group is bounded."""
+    cropped = kept(_cropped(spark, d))
+    standard = M.route(_stats(spark, d, cropped), V.footprint(spark, d), C.areas(V.footprint(spark, d))).where("mode = 'STANDARD'")
+    thin = C.thin(cropped.where("cls = 6"), C.most_in_cell(20.0, 100), 100)
+    return P.roof_planes(thin.join(standard.select("fid", "pc"), ["fid", "pc"], "left_semi"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        crop_counts, cell_bands, building_stats, thinned, tiles, areas, z98, mutations, selection, terrain_source, terrain_grid, terrain_triangles, ground_height,
-        routing, prism_measures, prism_faces, status_counts, attributes, overlap, roof_planes,
+        crop_counts, cell_bands, building_stats, thinned, thinned_blocks, tiles, tile_order, areas, rings_repaired, file_tiles, aoi_counts, z98, mutations, selection,
+        year_override, terrain_source, terrain_grid, terrain_triangles, terrain_local, terrain_filled, nodata_filled, ground_height, ground_user, routing, status_counts,
+        prism_measures, prism_faces, attributes, features, circles, edge_angles, overlap, roof_rmse, roof_errors, region_stats, steps_merged, nearest_points, part_adjacency,
+        roof_planes,
     )
 }
 
@@ -131,14 +272,15 @@ bands AS (
   SELECT fid, pc, ((x - ox) // 50)::INTEGER AS col, ((y - oy) // 50)::INTEGER AS row, max(z) AS z_max, min(z) AS z_min, count(*) AS n,
          (list_sort(list(z)))[count(*) // 2 + 1] AS z_median, round(avg(z), 6) AS z_mean,
          round(avg(z * z) - avg(z) * avg(z), 4) AS z_variance,
-         round(abs(count(*) FILTER (WHERE cls = 2) - count(*) FILTER (WHERE cls = 6)) / count(*)::DOUBLE, 9) AS imbalance
+         round(abs(count(*) FILTER (WHERE cls = 2) - count(*) FILTER (WHERE cls = 6)) / nullif(count(*) FILTER (WHERE cls IN (2, 6)), 0)::DOUBLE, 9) AS imbalance
   FROM cropped WHERE inside GROUP BY ALL),
 mask AS (
-  SELECT fid, c.c::INTEGER AS col, r.r::INTEGER AS row FROM footprint, range(20) AS c(c), range(20) AS r(r)
-  WHERE fid % 2 = 1 OR c.c * 50 + 25 < 500 OR r.r * 50 + 25 < 500)
+  SELECT fid, c.c::INTEGER AS col, r.r::INTEGER AS row FROM footprint, range(32) AS c(c), range(32) AS r(r)
+  WHERE c.c * 50 < w AND r.r * 50 < w AND (kind = 1 OR (kind = 0 AND (2 * (c.c * 50 + 25) < w OR 2 * (r.r * 50 + 25) < w))
+        OR (kind = 2 AND NOT (10 * (c.c * 50 + 25) BETWEEN 3 * w AND 7 * w AND 10 * (r.r * 50 + 25) BETWEEN 3 * w AND 7 * w)))),
+n_mask AS (SELECT fid, count(*) AS n_cells FROM mask GROUP BY fid)
 """
 _STATS = """
-n_mask AS (SELECT fid, count(*) AS n_cells FROM mask GROUP BY fid),
 data AS (
   SELECT fid, pc, count(*) AS n_data, sum(n)::BIGINT AS n_points, list_sort(list(z_max)) AS tops, round(avg(imbalance), 9) AS imbalance
   FROM bands JOIN mask USING (fid, col, row) GROUP BY fid, pc),
@@ -151,21 +293,61 @@ stats AS (
          CASE WHEN len(ground) > 0 THEN ground[floor((len(ground) - 1) * 0.05::DOUBLE)::BIGINT + 1] END AS ground,
          coalesce(tops[least(floor(len(tops) * 0.7::DOUBLE)::BIGINT, len(tops) - 1) + 1], 0) AS roof,
          coalesce(imbalance < 0.75, false) AS glass_roof,
-         coalesce(n_roof, 0) / (CASE fid % 2 WHEN 1 THEN 100.0 ELSE 75.0 END)::DOUBLE < 1 AS insufficient
-  FROM n_mask CROSS JOIN (SELECT DISTINCT pc FROM cropped) LEFT JOIN data USING (fid, pc) LEFT JOIN heights USING (fid, pc))
+         coalesce(n_roof, 0) / (area2 / 20000.0::DOUBLE) < 1 AS insufficient, area2
+  FROM n_mask CROSS JOIN (SELECT pc FROM pc_source) JOIN area USING (fid) LEFT JOIN data USING (fid, pc) LEFT JOIN heights USING (fid, pc))
 """
-_GRID = "grid AS (SELECT floor(x / 1000.0::DOUBLE)::BIGINT AS col, floor(y / 1000.0::DOUBLE)::BIGINT AS row, min(z) AS z FROM points WHERE cls = 2 GROUP BY ALL)"
+_GRID = "grid AS (SELECT x // 1000 AS col, y // 1000 AS row, min(z) AS z FROM points WHERE cls = 2 GROUP BY ALL)"
 _MUTATION = """
-pairs(pc, pc_next) AS (VALUES ('A', 'N'), ('N', 'R')),
+pairs AS (SELECT a.pc, b.pc AS pc_next, b.ord - a.ord AS step FROM pc_source a, pc_source b WHERE a.pc <> b.pc),
 moved AS (
   SELECT a.fid, p.pc, p.pc_next, count(*) FILTER (WHERE abs(b.z_max - a.z_max) > 120) AS n_changed
   FROM pairs p JOIN bands a ON a.pc = p.pc JOIN bands b ON b.pc = p.pc_next AND b.fid = a.fid AND b.col = a.col AND b.row = a.row
   JOIN mask m ON m.fid = a.fid AND m.col = a.col AND m.row = a.row GROUP BY ALL),
 mutations AS (
-  SELECT fid, pc, pc_next, coalesce(n_changed, 0) AS n_changed, coalesce(n_changed, 0) / n_cells::DOUBLE >= 0.25 AS mutated
+  SELECT fid, pc, pc_next, step, coalesce(n_changed, 0) AS n_changed, coalesce(n_changed, 0) / n_cells::DOUBLE >= 0.5 AS mutated
   FROM n_mask CROSS JOIN pairs LEFT JOIN moved USING (fid, pc, pc_next))
 """
-_MODES = """modes AS (SELECT fid, pc, CASE WHEN insufficient THEN 'SKIP' WHEN glass_roof THEN 'LOD11' ELSE 'STANDARD' END AS mode FROM stats)"""
+_SELECTED = """
+cand AS (SELECT s.fid, s.pc, nodata, quality, date, ord, nodata <= 0.06 AS ok FROM stats s JOIN pc_source USING (pc) WHERE NOT date_only),
+best AS (SELECT fid, bool_or(ok) AS ok, first(pc ORDER BY quality, ord) FILTER (WHERE ok) AS best, first(pc ORDER BY date DESC, ord) FILTER (WHERE ok) AS latest,
+         first(pc ORDER BY date DESC, ord) AS newest FROM cand GROUP BY fid),
+cover AS (SELECT c.fid, first(c.pc ORDER BY nodata, ord) AS covered FROM cand c JOIN best b USING (fid) LEFT JOIN mutations m ON m.fid = c.fid AND m.pc = c.pc AND m.pc_next = b.newest
+          WHERE NOT coalesce(m.mutated, false) GROUP BY c.fid),
+said AS (SELECT b.*, covered, CASE WHEN NOT ok THEN 'BEST_COVERAGE' WHEN best = latest THEN 'PREFERRED_AND_LATEST' WHEN coalesce(m.mutated, false) THEN 'LATEST_WITH_MUTATION' ELSE 'PREFERRED_NOT_LATEST' END AS reason
+         FROM best b JOIN cover USING (fid) LEFT JOIN mutations m ON m.fid = b.fid AND m.pc = b.best AND m.pc_next = b.latest),
+selected AS (SELECT fid, CASE reason WHEN 'BEST_COVERAGE' THEN covered WHEN 'LATEST_WITH_MUTATION' THEN latest ELSE best END AS pc, reason FROM said)
+"""
+_MODES = """modes AS (SELECT fid, pc, CASE WHEN insufficient THEN 'SKIP' WHEN glass_roof OR area2 / 20000.0 > 69000 OR coalesce(force_block, false) OR pc = 'R' THEN 'LOD11' ELSE 'STANDARD' END AS mode
+  FROM stats JOIN footprint USING (fid))"""
+_TILES = """tiled AS (SELECT fid, floor((ox + w * (CASE kind WHEN 0 THEN 5 / 12.0::DOUBLE ELSE 0.5::DOUBLE END)) / 5000)::BIGINT AS tile_x, floor((oy + w * (CASE kind WHEN 0 THEN 5 / 12.0::DOUBLE ELSE 0.5::DOUBLE END)) / 5000)::BIGINT AS tile_y FROM footprint)"""
+_GROUND = """own AS (SELECT fid, min(ground) AS own FROM stats GROUP BY fid),
+away AS (SELECT fid, z, greatest(0, ox // 1000 - col, col - (ox + w) // 1000, oy // 1000 - row, row - (oy + w) // 1000) AS away FROM footprint, grid),
+nearest AS (SELECT fid, z AS near FROM away WHERE away <= 3 QUALIFY row_number() OVER (PARTITION BY fid ORDER BY away, z) = 1),
+levels AS (SELECT fid, own, near, user_ground, (SELECT min(z) FROM points) AS lowest FROM footprint LEFT JOIN own USING (fid) LEFT JOIN nearest USING (fid))"""
+_THIN = """SELECT fid, pc, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(z)::BIGINT AS sz FROM (
+        SELECT *, row_number() OVER (PARTITION BY fid, pc, (x - ox) // 200, (y - oy) // 200 ORDER BY (x * 31 + y * 17 + z) % 1009, x, y, z, cls, yr) AS k FROM cropped WHERE inside)
+        WHERE k <= {} GROUP BY fid, pc"""
+_SQUARES = """square AS (
+  SELECT g.col - k.dc AS col, g.row - k.dr AS row, count(*) AS n, max(z) FILTER (WHERE k.k = 'a') AS a, max(z) FILTER (WHERE k.k = 'b') AS b,
+         max(z) FILTER (WHERE k.k = 'c') AS c, max(z) FILTER (WHERE k.k = 'd') AS d
+  FROM grid g, (VALUES ('a', 0, 0), ('b', 1, 0), ('c', 0, 1), ('d', 1, 1)) AS k(k, dc, dr) GROUP BY ALL),
+halves AS (
+  SELECT col, row, 0 AS triangle, a AS z1, b AS z2, CASE WHEN abs(a - d) <= abs(b - c) THEN d ELSE c END AS z3 FROM square WHERE n = 4 UNION ALL
+  SELECT col, row, 1, CASE WHEN abs(a - d) <= abs(b - c) THEN a ELSE b END, d, c FROM square WHERE n = 4)"""
+_ROOF_PLANES = """planes AS (
+  SELECT fid, w, p.face, p.rise, p.z FROM footprint JOIN (VALUES (0, 1, 0, 600), (1, 1, 600, 600), (1, 2, -600, 1200), (2, 1, 0, 500), (2, 2, 0, 900), (3, 1, 400, 500)) AS p(kind4, face, rise, z) ON kind4 = fid % 4),
+residual AS (
+  SELECT c.rid, c.fid, c.pc, p.face, round(abs(c.z - p.z - (c.x - c.ox) * p.rise / p.w::DOUBLE) / sqrt((p.rise / p.w::DOUBLE) ** 2 + 1), 6) AS off
+  FROM cropped c JOIN planes p USING (fid) WHERE inside AND cls = 6 QUALIFY row_number() OVER (PARTITION BY c.rid, c.fid ORDER BY off, p.face) = 1)"""
+_REGIONS = """tops AS (SELECT fid, ((x - ox) // 50)::INTEGER AS col, ((y - oy) // 50)::INTEGER AS row, max(z) AS z FROM cropped WHERE inside AND cls = 6 AND pc = 'A' GROUP BY ALL),
+grouped AS (SELECT fid, col * 200 // w AS region, list_sort(list(z)) AS h, count(*) AS n FROM tops JOIN footprint USING (fid) GROUP BY ALL),
+regions AS (SELECT fid, region, n, h[1] AS h_min, h[floor((n - 1) * 0.5::DOUBLE)::BIGINT + 1] AS h_50p, h[floor((n - 1) * 0.7::DOUBLE)::BIGINT + 1] AS h_70p,
+            h[floor((n - 1) * 0.97::DOUBLE)::BIGINT + 1] AS h_97p, h[n] AS h_max FROM grouped)"""
+_NEAREST = """numbered AS (SELECT fid, pc, x, y, z, ox, row_number() OVER (PARTITION BY fid, pc ORDER BY x, y, z, yr) AS i FROM cropped WHERE inside AND cls = 6 AND fid % 5 = 1),
+ranked AS (
+  SELECT a.fid, a.pc, a.i, b.i AS j, (a.x - a.ox) // 100 + 1 AS la, (b.x - b.ox) // 100 + 1 AS lb, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 AS dist,
+         row_number() OVER (PARTITION BY a.fid, a.pc, a.i ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.i) AS rank
+  FROM numbered a JOIN numbered b ON a.fid = b.fid AND a.pc = b.pc AND a.i <> b.i)"""
 
 
 def _with(*parts: str) -> str:
@@ -175,41 +357,63 @@ def _with(*parts: str) -> str:
 SQL: dict[str, str] = {
     "crop_counts": _with() + "SELECT fid, pc, cls, count(*) AS n, count(*) FILTER (WHERE inside) AS n_inside, min(z) AS z_min, max(z) AS z_max, max(yr) FILTER (WHERE inside)::BIGINT AS acquired FROM cropped GROUP BY fid, pc, cls",
     "cell_bands": _with(_CELLS) + "SELECT * FROM bands",
-    "building_stats": _with(_CELLS, _STATS) + "SELECT * FROM stats",
-    "thinned": _with() + """SELECT fid, pc, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(z)::BIGINT AS sz FROM (
-        SELECT *, row_number() OVER (PARTITION BY fid, pc, (x - ox) // 200, (y - oy) // 200 ORDER BY (x * 31 + y * 17 + z) % 1009, x, y, z, cls, yr) AS k FROM cropped WHERE inside)
-        WHERE k <= 2 GROUP BY fid, pc""",
-    "tiles": _with() + "SELECT fid, (ox + 500) // 5000 AS tile_x, (oy + 500) // 5000 AS tile_y FROM footprint",
-    "areas": _with() + """SELECT fid, CASE fid % 2 WHEN 1 THEN 2000000 ELSE 1500000 END::BIGINT AS area2, CASE fid % 2 WHEN 1 THEN 4 ELSE 6 END AS n_corners,
-        CASE fid % 2 WHEN 1 THEN 2000000 ELSE 1500000 END::BIGINT AS area2_turned FROM footprint""",
+    "building_stats": _with(_CELLS, _STATS) + "SELECT * EXCLUDE (area2) FROM stats",
+    "thinned": _with() + _THIN.format(3),
+    "thinned_blocks": _with() + _THIN.format(1),
+    "tiles": _with(_TILES) + "SELECT * FROM tiled",
+    "tile_order": _with(_TILES) + "SELECT *, row_number() OVER (PARTITION BY tile_x, tile_y ORDER BY fid) AS place FROM tiled",
+    "areas": _with() + """SELECT fid, area2, count(*) FILTER (WHERE r = 0) AS n_corners, sum((x1 - ox) * (y2 - oy) - (x2 - ox) * (y1 - oy)) FILTER (WHERE r = 0)::BIGINT AS area2_outer, max(r) + 1 AS n_rings
+        FROM edges JOIN area USING (fid) GROUP BY fid, area2""",
+    "rings_repaired": _with() + """SELECT fid, count(*) + 2 AS n_before, count(*) AS n_corners, sum((x1 - ox) * (y2 - oy) - (x2 - ox) * (y1 - oy))::BIGINT
+          + 0 AS area2_outer, false AS degenerate FROM edges WHERE r = 0 GROUP BY fid""",
+    "file_tiles": _with(_TILES) + """, files AS (SELECT pc || '_' || (x // 10000) || '_' || (y // 10000) AS file, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM points GROUP BY 1),
+        boxes AS (SELECT tile_x, tile_y, min(ox) - 400 AS x0, min(oy) - 400 AS y0, max(ox + w) + 400 AS x1, max(oy + w) + 400 AS y1 FROM tiled JOIN footprint USING (fid) GROUP BY ALL)
+        SELECT tile_x, tile_y, file FROM boxes b JOIN files f ON f.x0 < b.x1 AND b.x0 < f.x1 AND f.y0 < b.y1 AND b.y0 < f.y1""",
+    "aoi_counts": _with() + f"""SELECT pc, cls, count(*) AS n, max(yr)::BIGINT AS last_year FROM points WHERE x >= {V.EAST} + 1000 AND x < {V.EAST} + 9000 AND y >= {V.NORTH} + 1000 AND y < {V.NORTH} + 9000 GROUP BY pc, cls
+        UNION ALL SELECT 'footprints', 0, count(*), max(built) FROM footprint WHERE built < 2015 AND nation >= 5 AND ox < {V.EAST} + 9000 AND ox + w > {V.EAST} + 1000 AND oy < {V.NORTH} + 9000 AND oy + w > {V.NORTH} + 1000""",
     "z98": _with() + "SELECT fid, (list_sort(list(z)))[least(floor(count(*) * 0.98::DOUBLE + 0.5)::BIGINT, count(*) - 1) + 1] AS z98, count(*) AS n FROM cropped WHERE inside GROUP BY fid",
-    "mutations": _with(_CELLS, _STATS, _MUTATION) + "SELECT * FROM mutations",
-    "selection": _with(_CELLS, _STATS, _MUTATION) + """, rows AS (SELECT s.*, quality, date, ord, nodata <= 0.6 AS ok FROM stats s JOIN pc_source USING (pc) WHERE NOT date_only),
-        best AS (SELECT fid, max(ok::INT) = 1 AS ok, arg_min(pc, (NOT ok)::INT * 1000000 + quality * 1000 + (9999 - date // 10000) / 10000.0) AS best,
-                 arg_min(pc, (NOT ok)::BIGINT * 1000000000 - date) AS latest, arg_min(pc, nodata + quality * 1e-12) AS covered FROM rows GROUP BY fid),
-        changed AS (SELECT fid, bool_or(mutated) AS mutated FROM mutations GROUP BY fid),
-        said AS (SELECT *, CASE WHEN NOT ok THEN 'BEST_COVERAGE' WHEN best = latest THEN 'PREFERRED_AND_LATEST' WHEN mutated THEN 'LATEST_WITH_MUTATION' ELSE 'PREFERRED_NOT_LATEST' END AS reason FROM best JOIN changed USING (fid))
-        SELECT fid, CASE reason WHEN 'BEST_COVERAGE' THEN covered WHEN 'LATEST_WITH_MUTATION' THEN latest ELSE best END AS pc, reason FROM said""",
+    "mutations": _with(_CELLS, _MUTATION) + "SELECT * EXCLUDE (step) FROM mutations WHERE step = 1",
+    "selection": _with(_CELLS, _STATS, _MUTATION, _SELECTED) + "SELECT * FROM selected",
+    "year_override": _with(_CELLS, _STATS, _MUTATION, _SELECTED) + """SELECT fid, CASE WHEN built > date // 10000 THEN (SELECT pc FROM pc_source ORDER BY date DESC, ord LIMIT 1) ELSE pc END AS pc,
+        CASE WHEN built > date // 10000 THEN 'LATEST' ELSE reason END AS reason FROM selected JOIN footprint USING (fid) JOIN pc_source USING (pc)""",
     "terrain_source": _with() + "SELECT pc, quality, date FROM pc_source WHERE NOT date_only ORDER BY quality, date DESC, ord LIMIT 1",
     "terrain_grid": _with(_GRID) + "SELECT * FROM grid",
-    "terrain_triangles": _with(_GRID) + """, four AS (SELECT a.col, a.row, a.z AS a, b.z AS b, c.z AS c, d.z AS d FROM grid a JOIN grid b ON b.col = a.col + 1 AND b.row = a.row
-          JOIN grid c ON c.col = a.col AND c.row = a.row + 1 JOIN grid d ON d.col = a.col + 1 AND d.row = a.row + 1)
-        SELECT col, row, 0 AS triangle, a AS z1, b AS z2, CASE WHEN abs(a - d) <= abs(b - c) THEN d ELSE c END AS z3 FROM four UNION ALL
-        SELECT col, row, 1, CASE WHEN abs(a - d) <= abs(b - c) THEN a ELSE b END, d, c FROM four""",
-    "ground_height": _with(_CELLS, _STATS, _GRID) + """, own AS (SELECT fid, min(ground) AS own FROM stats GROUP BY fid),
-        away AS (SELECT fid, z, greatest(0, ox // 1000 - col, col - (ox + 1000) // 1000, oy // 1000 - row, row - (oy + 1000) // 1000) AS away FROM footprint, grid),
-        nearest AS (SELECT fid, z AS near FROM away WHERE away <= 3 QUALIFY row_number() OVER (PARTITION BY fid ORDER BY away, z) = 1)
-        SELECT fid, coalesce(own, near, (SELECT min(z) FROM grid)) AS ground, CASE WHEN own IS NOT NULL THEN 'buffer' WHEN near IS NOT NULL THEN 'grid' ELSE 'tile' END AS origin
-        FROM footprint LEFT JOIN own USING (fid) LEFT JOIN nearest USING (fid)""",
+    "terrain_triangles": _with(_GRID, _SQUARES) + "SELECT * FROM halves",
+    "terrain_local": _with(_GRID, _SQUARES) + """SELECT * FROM halves UNION ALL SELECT col, row, 0, coalesce(a, b), CASE WHEN a IS NULL OR b IS NULL THEN d ELSE b END,
+        CASE WHEN d IS NULL THEN c WHEN c IS NULL THEN d ELSE c END FROM square WHERE n = 3""",
+    "terrain_filled": _with(_GRID) + """, left_over AS (SELECT * FROM grid WHERE (col + 2 * row) % 5 <> 0), sides(c, r) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1))
+        SELECT col, row, z::DOUBLE AS z FROM left_over UNION ALL
+        SELECT g.col + c, g.row + r, round(avg(g.z), 6) FROM left_over g, sides WHERE NOT EXISTS (SELECT 1 FROM left_over h WHERE h.col = g.col + c AND h.row = g.row + r) GROUP BY 1, 2 HAVING count(*) = 4""",
+    "nodata_filled": _with(_CELLS) + """, wanted AS (SELECT DISTINCT b.fid, b.pc, m.col, m.row FROM (SELECT DISTINCT fid, pc FROM bands) b JOIN mask m USING (fid))
+        SELECT w.fid, w.pc, w.col, w.row, coalesce(any_value(o.z_max), min(n.z_max)) AS z_max, any_value(o.z_max) IS NULL AS filled
+        FROM wanted w LEFT JOIN bands o ON o.fid = w.fid AND o.pc = w.pc AND o.col = w.col AND o.row = w.row
+        LEFT JOIN bands n ON n.fid = w.fid AND n.pc = w.pc AND n.col BETWEEN w.col - 1 AND w.col + 1 AND n.row BETWEEN w.row - 1 AND w.row + 1 GROUP BY ALL""",
+    "ground_height": _with(_CELLS, _STATS, _GRID, _GROUND) + "SELECT fid, coalesce(own, near, lowest) AS ground, CASE WHEN own IS NOT NULL THEN 'buffer' WHEN near IS NOT NULL THEN 'grid' ELSE 'tile' END AS origin FROM levels",
+    "ground_user": _with(_CELLS, _STATS, _GRID, _GROUND) + """SELECT fid, coalesce(own, user_ground, near, lowest) AS ground_buffer_user,
+        CASE WHEN own IS NOT NULL THEN 'buffer' WHEN user_ground IS NOT NULL THEN 'attribute' WHEN near IS NOT NULL THEN 'grid' ELSE 'tile' END AS origin_buffer_user,
+        coalesce(user_ground, near, lowest) AS ground_user, CASE WHEN user_ground IS NOT NULL THEN 'attribute' WHEN near IS NOT NULL THEN 'grid' ELSE 'tile' END AS origin_user FROM levels""",
     "routing": _with(_CELLS, _STATS, _MODES) + "SELECT * FROM modes",
-    "prism_measures": _with() + """SELECT fid, (CASE fid % 2 WHEN 1 THEN 6000000 ELSE 4500000 END * (400 + fid % 7 * 20))::BIGINT AS volume6,
-        CASE fid % 2 WHEN 1 THEN 12 ELSE 18 END::BIGINT AS n_edges, 0::BIGINT AS n_bad, CASE fid % 2 WHEN 1 THEN 8 ELSE 12 END::BIGINT AS n_vertices FROM footprint""",
-    "prism_faces": _with() + """SELECT fid, 0 AS face, 0 AS label, 180.0::DOUBLE AS slope, NULL::DOUBLE AS azimuth FROM footprint UNION ALL
-        SELECT fid, 1, 1, 0.0::DOUBLE, NULL FROM footprint UNION ALL
-        SELECT fid, i + 2, 2, 90.0::DOUBLE, CASE WHEN y2 > y1 THEN 90.0 WHEN y2 < y1 THEN 270.0 WHEN x2 > x1 THEN 180.0 ELSE 0.0 END::DOUBLE FROM edges""",
-    "attributes": _with(_CELLS, _STATS) + "SELECT fid, " + ", ".join(f"max({k}) FILTER (WHERE pc = '{pc}') AS tk_{k}_{pc.lower()}" for pc in "ANR" for k in ("density", "nodata", "roof")) + " FROM stats GROUP BY fid",
-    "overlap": _with() + """, size AS (SELECT fid, count(*) AS n FROM cropped WHERE cls = 2 GROUP BY fid),
-        best AS (SELECT DISTINCT ON (pc, x, y, z, yr) fid FROM cropped JOIN size USING (fid) WHERE cls = 2 ORDER BY pc, x, y, z, yr, n DESC, fid)
-        SELECT fid, count(*) AS n_points FROM best GROUP BY fid""",
     "status_counts": _with(_CELLS, _STATS, _MODES) + "SELECT pc, mode, count(*) AS n FROM modes GROUP BY pc, mode",
+    "prism_measures": _with() + """SELECT fid, area2 * 3 * (400 + fid % 7 * 20) AS volume6, 3 * count(*) AS n_edges, 0::BIGINT AS n_bad, 2 * count(*) AS n_vertices FROM edges JOIN area USING (fid) GROUP BY fid, area2""",
+    "prism_faces": _with() + """SELECT DISTINCT fid, 0::BIGINT AS face, r AS part, 0 AS label, CASE r WHEN 0 THEN 180.0 ELSE 0.0 END::DOUBLE AS slope, NULL::DOUBLE AS azimuth FROM edges UNION ALL
+        SELECT DISTINCT fid, 1, r, 1, CASE r WHEN 0 THEN 0.0 ELSE 180.0 END::DOUBLE, NULL FROM edges UNION ALL
+        SELECT fid, r * 1000000 + i + 2, 0, 2, 90.0::DOUBLE, CASE WHEN y2 > y1 THEN 90.0 WHEN y2 < y1 THEN 270.0 WHEN x2 > x1 THEN 180.0 ELSE 0.0 END::DOUBLE FROM edges""",
+    "attributes": _with(_CELLS, _STATS) + "SELECT fid, " + ", ".join(f"max({k}) FILTER (WHERE pc = '{pc}') AS tk_{k}_{pc.lower()}" for pc in "ANR" for k in ("density", "nodata", "roof")) + " FROM stats GROUP BY fid",
+    "features": _with(_TILES) + """, named AS (SELECT *, coalesce(CASE WHEN fid % 6 <> 0 THEN name END, fid::VARCHAR) AS bid FROM footprint JOIN tiled USING (fid))
+        SELECT fid, bid, printf('%06d_%06d.city.jsonl', tile_x * 50, tile_y * 50) AS file,
+        '{"tk_built":' || built || ',"tk_force_block":' || coalesce(force_block::VARCHAR, 'null') || ',"tk_since":"' || built || '-03-01"}' AS attributes, 'out/' || bid || '/A_{other}.laz' AS path FROM named""",
+    "circles": _with() + """, corner AS (SELECT fid, k, ox + round(w * 10 * cos(k * pi() / 5)) AS x, oy + round(w * 10 * sin(k * pi() / 5)) AS y, ox, oy FROM footprint, range(10) AS k(k))
+        SELECT a.fid, count(*) AS n_corners, sum((a.x - a.ox) * (b.y - a.oy) - (b.x - a.ox) * (a.y - a.oy)) / 2 AS area FROM corner a JOIN corner b ON b.fid = a.fid AND b.k = (a.k + 1) % 10 GROUP BY a.fid""",
+    "edge_angles": _with() + "SELECT fid, round(sum(CASE WHEN x1 = x2 THEN (y2 - y1) ** 2 * 90.0::DOUBLE ELSE 0 END) / sum((x2 - x1) ** 2 + (y2 - y1) ** 2), 6) AS angle FROM edges GROUP BY fid",
+    "overlap": _with() + """, roofs AS (SELECT *, count(*) OVER (PARTITION BY rid) AS k FROM cropped WHERE inside AND cls = 6),
+        facts AS (SELECT fid, area2 / 20000.0::DOUBLE AS area, count(r.rid) FILTER (WHERE k = 1) AS n_own, count(r.rid) FILTER (WHERE k > 1) AS n_shared, round(avg(z) FILTER (WHERE k = 1), 6) AS mean_z
+                  FROM area LEFT JOIN roofs r USING (fid) GROUP BY fid, area2),
+        rated AS (SELECT r.rid, fid, mean_z, round((n_own + n_shared) / area, 9) AS density, max(round((n_own + n_shared) / area, 9)) OVER (PARTITION BY rid) AS top FROM roofs r JOIN facts USING (fid) WHERE k > 1),
+        given AS (SELECT rid, fid FROM rated QUALIFY row_number() OVER (PARTITION BY rid ORDER BY (abs(1 - density / top) < 0.05)::INT DESC, CASE WHEN abs(1 - density / top) < 0.05 THEN mean_z END DESC NULLS LAST, density DESC, fid) = 1)
+        SELECT fid, n_own, n_shared, count(g.rid) AS n_taken FROM facts LEFT JOIN given g USING (fid) GROUP BY fid, n_own, n_shared""",
+    "roof_rmse": _with(_ROOF_PLANES) + "SELECT fid, pc, count(*) AS n, round(sqrt(avg(off * off)), 6) AS rmse FROM residual GROUP BY fid, pc",
+    "roof_errors": _with(_ROOF_PLANES) + f"SELECT pc, face, len(list_filter({list(M.ERROR_BINS)}, lambda b: b <= off)) AS bin, count(*) AS n FROM residual GROUP BY ALL",
+    "region_stats": _with(_REGIONS) + "SELECT * FROM regions",
+    "nearest_points": _with(_NEAREST) + "SELECT fid, pc, i, rank, dist::BIGINT AS d FROM ranked WHERE rank <= 5",
+    "part_adjacency": _with(_NEAREST) + "SELECT fid, pc, greatest(la, lb) AS high, least(la, lb) AS low, count(*) AS n FROM ranked WHERE rank <= 5 AND la <> lb GROUP BY ALL",
 }
