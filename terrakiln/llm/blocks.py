@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, give_back, lean, parts, stored
+from .common import bucketed, give_back, lean, parts, stored, sweep
 
 TOKENS = 1_500_000
 SCHEMA = "block long, n_words long, doc_ids array<long>, digests array<binary>, sizes binary, tokens binary, words binary"
@@ -212,10 +212,13 @@ def told(answers: DataFrame, before: DataFrame | None = None) -> DataFrame:
     spark = answers.sparkSession
     own = answers.repartition(parts(spark), "block")
     if before is None:
-        return bucketed(own, "block")
+        first = bucketed(own, "block")
+        sweep(spark)
+        return first
     path, name = before._held
     own.write.bucketBy(parts(spark), "block").option("path", path).format("parquet").mode("append").saveAsTable(name)
     spark.catalog.refreshTable(name)
+    sweep(spark)
     out = spark.table(name)
     out._held = before._held
     return out

@@ -82,6 +82,13 @@ def release(*frames: DataFrame) -> None:
             files.delete(at, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM collects the handles of their stages, which a driver with little to do would
+    not do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Python workers are used again by later tasks: what this one freed goes back to the system."""
     gc.collect()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .common import lean, parts, release, stored, table
+from .common import lean, parts, release, stored, sweep, table
 from .components import components
 
 SHINGLE, THRESHOLD, IDF = 5, 0.8, 0.2
@@ -305,6 +305,7 @@ def _named(docs: DataFrame, threshold: float) -> DataFrame:
     features = stored(B.with_answers(held, answers.union(gone), _sketch(shards, drop, n, threshold), FEATURES))
     members_ = stored(member)
     release(held)
+    sweep(docs.sparkSession)
     linked = grouped(features, threshold)
     release(features)
     # a class is named by the digest that its component has; each document finds it by its own digest
