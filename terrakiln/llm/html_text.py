@@ -12,7 +12,7 @@ dropped, from the leaves up; so a node is kept with all its ancestors. Kept text
 decoded, white space runs to one space, trimmed, empty ones left out, joined by one \\n in page order.
 
 Each page is read whole, in its own partition: no shuffle. Defined cases: null or empty html has the text ""; a page
-without tags is one text block; nesting beyond MAX_DEPTH hangs on the node of that depth; repeated rows give repeated
+without tags is one text block; nesting may be of any depth; repeated rows give repeated
 rows; an empty table an empty result.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from . import html_pages
 from .common import lean, table
 
-MAX_DEPTH = 200
 TREES, DEPTH, RATE, BINS, LEAST = 40, 4, 0.3, 24, 4.0
 #: Pages whose nodes are judged together.
 TOGETHER = 128
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: An attribute as browsers read it: a quote opens a value only behind a =, elsewhere it is part of a name.
+_PAIR = r"""(?:[^\s/>=]++|=)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)?"""
+_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?>\s++|/(?!>)|{_PAIR})*+)(/?)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?""", re.S)
+_ATTR = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript iframe svg math object canvas select datalist textarea button title head".split())
 _RAW_TEXT = frozenset("script style textarea title iframe".split())
@@ -85,7 +88,7 @@ def _kinds(attributes: str) -> int:
     bits = 0
     for name, value in _ATTR.findall(attributes):
         name = name.lower()
-        if name == "hidden" or (name == "aria-hidden" and "true" in value) or (name == "style" and "none" in value):
+        if name == "hidden" or (name == "aria-hidden" and "true" in value) or (name == "style" and _UNSEEN.search(value)):
             bits |= _KIND_OF["none"]
         elif name in ("class", "id", "role", "itemprop"):
             for word in _WORDS.findall(value):
@@ -102,6 +105,12 @@ def read(page: str) -> tuple[Node, list[tuple[Node, int, int]]]:
     linked, tags = 0, 0
     facts: list[tuple[Node, int, int]] = []
     closers: dict[str, re.Pattern] = {}
+    opened: Counter[str] = Counter()
+
+    def shut_from(i: int) -> None:
+        for node in stack[i:]:
+            opened[node.tag] -= 1
+        del stack[i:]
 
     def flush() -> None:
         nonlocal linked, tags
@@ -163,25 +172,24 @@ def read(page: str) -> tuple[Node, list[tuple[Node, int, int]]]:
         flush()
         inline.clear()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag] > 0:
+                shut_from(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and opened[tag] > 0:
             continue
         if tag in _ENDS_P and stack[-1].tag == "p":
-            stack.pop()
-        if tag in _ENDED_BY:
+            shut_from(len(stack) - 1)
+        if tag in _ENDED_BY and any(opened[x] > 0 for x in _ENDED_BY[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in _HOLDS.get(tag, ()):
                     break
                 if stack[i].tag in _ENDED_BY[tag]:
-                    del stack[i:]
+                    shut_from(i)
                     break
         node = Node(tag, stack[-1], _kinds(m[3] or m[7] or "") if (m[3] or m[7]) else 0)
-        if len(stack) < MAX_DEPTH and not m[4]:
+        if not m[4]:
             stack.append(node)
+            opened[tag] += 1
     flush()
     return root, facts
 

@@ -43,6 +43,31 @@ def test_choices_do_not_contradict():
     assert H.decode([root, menu, leaf, other], np.array([3.0, -1.0, 4.0, 1.0])) == ["menu", "text"]
 
 
+def texts(page):
+    return [leaf.text for leaf, _, _ in H.read(page)[1]]
+
+
+def test_quotes_outside_values_end_no_tag():
+    page = "<p title=it's>Body text one, do not <b>lose</b> it. Don't.</p><p>next</p>"
+    assert texts(page) == ["Body text one, do not lose it. Don't.", "next"]
+    assert texts("<p class='a' data-x=\"b > c\" o'clock>one's</p><p a=\"b>two \"three\" four</p>") [0] == "one's"
+    assert texts("<a href=/x/>a</a> <img src=y alt='>'>b<p/>c") == ["a b", "c"]
+
+
+def test_styles_that_hide():
+    none = H._KIND_OF["none"]
+    assert H._kinds(' style="color:red; display : none"') & none
+    assert H._kinds(" style='visibility:hidden'") & none
+    assert not H._kinds(' style="text-decoration:none"') & none
+    assert not H._kinds(' data-style="display:none" title="hidden class=ad"')
+
+
+def test_text_behind_deep_nesting_hangs_where_it_stands():
+    page = "<div>" * 250 + "in" + "</div>" * 60 + "out" + "</x></span>" * 10 + "</div>" * 190 + "end"
+    leaves = [leaf for leaf, _, _ in H.read(page)[1]]
+    assert [(leaf.text, leaf.depth) for leaf in leaves] == [("in", 251), ("out", 191), ("end", 1)]
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "words" + "</div>" * 3000
     rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "no tags at all", "x"), (4, "u", "<p>&lt;unclosed <b>x", "x"), (5, "u", deep, "x"), (6, "u", "<article><p>" + "long text. " * 50_000, "x"), (None, "u", "<", "x"), (6, "u", "<a <b> 'c\"", "x")]
