@@ -75,6 +75,14 @@ def build(docs: DataFrame, limit: int = TOKENS, by_block: bool = False) -> DataF
 _squeeze = zstandard.ZstdCompressor(level=1)
 
 
+def squeeze(raw: bytes) -> bytes:
+    return _squeeze.compress(raw)
+
+
+def unsqueeze(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers of at least 0 by byte planes, as many as the largest takes, squeezed: planes of small numbers vanish."""
     raw = np.ascontiguousarray(values)

@@ -3,11 +3,12 @@
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased. A key of at least `min_chars` code
 points that at least two documents hold keeps its lines in the smallest doc_id that holds it and loses all others.
 
-1. Each task hashes the distinct keys of its documents (64 bits) and deals the sorted hashes to segments of the hash
-   space, 8 bytes a line. Per segment, a hash enters the once-seen filter, and the twice-seen filter if the first has it
-   already. Filters are sized by what the segment holds (`BITS` a hash), so their error is the same at every size.
-2. The twice-seen filters go to all tasks if they take at most BROADCAST_BYTES together (measured first). Lines they
-   don't know stay where they are. Beyond that size every line counts as suspected: the same result, more shuffled.
+1. The distinct keys of each document are laid down in blocks with their 64-bit hashes. Blocks send their distinct hashes,
+   packed as differences, to segments of the hash space. Per segment, a hash enters the once-seen filter, and the
+   twice-seen filter if the first has it already. Filters are sized by what the segment holds (`BITS` a hash), so their
+   error is the same at every size, and they stay in their segments: nothing is broadcast.
+2. A segment answers each block with one bit for each of its hashes: whether the twice-seen filter has it. Keys that it
+   doesn't have stay in their blocks; the blocks are bucketed, so they aren't moved for the answers either.
 3. Suspected keys are grouped by their bytes: the smallest and the largest doc_id, combined before the shuffle, tell
    confirmed repeats and their first holder. Each document's list of keys to drop joins it by doc_id.
 
@@ -23,17 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, lean, parts, release, stored, table
+from . import blocks as B
+from .common import bucketed, give_back, lean, parts, release, stored, table
 
 MIN_CHARS = 10
 #: Bits of a segment's filters for each hash that it holds, and bits set by a hash.
 BITS, PROBES = 12, 3
-#: A task deals out its hashes after this many.
-FLUSH = 2_000_000
+#: A block ends after so many keys, or bytes of keys.
+BLOCK_KEYS, BLOCK_BYTES = 500_000, 24 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
 
@@ -74,73 +77,89 @@ class Twice:
         for x in _probes(hashes, self.bits):
             self.twice[x] = True
 
-
-def in_filter(hashes: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    out = np.ones(len(hashes), bool)
-    for x in _probes(hashes, len(packed) * 8):
-        out &= (packed[(x >> np.uint64(3)).astype(np.int64)] >> (7 - (x & np.uint64(7))).astype(np.uint8)) & 1 == 1
-    return out
+    def suspected(self, hashes: np.ndarray) -> np.ndarray:
+        return np.logical_and.reduce([self.twice[x] for x in _probes(hashes, self.bits)])
 
 
 def _distinct_keys(raw: bytes | None, least: int) -> set[bytes]:
     return {k for k in line_keys(raw or b"") if len(k) >= least and long_enough(k, least)}
 
 
-def _deal(segments: int, least: int):
+BLOCKS = "block long, hashes binary, owners binary, sizes binary, keys binary"
+
+
+def _blocks(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[int] = []
+        uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        keys: list[bytes] = []
+        owners: list[int] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            hashes, counts = np.unique(np.array(held, np.uint64), return_counts=True)
-            segment = (hashes % np.uint64(segments)).astype(np.int32)
-            order = np.argsort(segment, kind="stable")
-            hashes, counts, segment = hashes[order], counts[order], segment[order]
-            which, start = np.unique(segment, return_index=True)
-            ends = [*start[1:], len(segment)]
-            rows = [(int(s), hashes[a:b].tobytes(), hashes[a:b][counts[a:b] > 1].tobytes()) for s, a, b in zip(which, start, ends, strict=True)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "seen", "again"])
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+            own = np.array(owners, np.int64)
+            row = [uid, hashes.tobytes(), B.squeeze(own.tobytes()), np.fromiter(map(len, keys), np.int32, len(keys)).tobytes(), B.squeeze(b"".join(keys))]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "hashes", "owners", "sizes", "keys"])
 
         for batch in batches:
-            for raw in _binary(batch.column(0)):
-                held.extend(map(xxhash.xxh3_64_intdigest, _distinct_keys(raw, least)))
-                if len(held) >= FLUSH:
+            for o, raw in zip(batch.column(0).to_pylist(), _binary(batch.column(1)), strict=True):
+                own = _distinct_keys(raw, least)
+                keys.extend(own)
+                owners.extend([o] * len(own))
+                size += sum(map(len, own))
+                if len(keys) >= BLOCK_KEYS or size >= BLOCK_BYTES:
                     yield flush()
-        if held:
+                    uid, keys, owners, size = uid + 1, [], [], 0
+        if keys:
             yield flush()
 
     return run
 
 
-def _build(group: pa.Table) -> pa.Table:
-    seen = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("seen")]
-    both = Twice(sum(map(len, seen)))
-    for x, again in zip(seen, group.column("again"), strict=True):
-        both.add(x)
-        both.add_twice(np.frombuffer(again.as_buffer(), np.uint64))
-    return pa.table({"segment": group.column("segment").slice(0, 1), "bits": pa.array([np.packbits(both.twice).tobytes()], pa.binary())})
-
+def _deal(segments: int):
+    """block, hashes -> segment, block, seen (distinct hashes), again (which of them the block has in several documents)."""
 
-def _suspects(segments: int, least: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = None if sent is None else {s: np.frombuffer(b, np.uint8) for s, b in sent.value.items()}
         for batch in batches:
-            keys: list[bytes] = []
-            owner: list[int] = []
-            for o, raw in zip(batch.column(0).to_pylist(), _binary(batch.column(1)), strict=True):
-                own = _distinct_keys(raw, least)
-                keys.extend(own)
-                owner.extend([o] * len(own))
-            if filters is not None and keys:
-                hashes = np.array(list(map(xxhash.xxh3_64_intdigest, keys)), np.uint64)
-                segment = (hashes % np.uint64(segments)).astype(np.int64)
-                keep = np.zeros(len(keys), bool)
-                for s in np.unique(segment):
-                    at = np.flatnonzero(segment == s)
-                    keep[at] = in_filter(hashes[at], filters[int(s)])
-                kept = np.flatnonzero(keep).tolist()
-                keys, owner = [keys[i] for i in kept], [owner[i] for i in kept]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owner, pa.int64())], ["key", "owner"])
+            rows = []
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes, counts = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
+                rows += [(segment, block, B.pack_keys(hashes[a:b]), np.packbits(counts[a:b] > 1).tobytes()) for segment, a, b in B.ranges(hashes, 64, segments)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["segment", "block", "seen", "again"])
+
+    return run
+
+
+def _filter(group: pa.Table) -> pa.Table:
+    """A segment's filters, and what they say to each block: segment, block, said (a bit for each of its hashes)."""
+    seen = [B.unpack_keys(x.as_py()) for x in group.column("seen")]
+    both = Twice(sum(map(len, seen)))
+    for hashes, again in zip(seen, group.column("again"), strict=True):
+        both.add(hashes)
+        both.add_twice(hashes[np.unpackbits(np.frombuffer(again.as_py(), np.uint8), count=len(hashes)).astype(bool)])
+    said = [np.packbits(both.suspected(hashes)).tobytes() for hashes in seen]
+    return pa.table({"segment": group.column("segment"), "block": group.column("block"), "said": pa.array(said, pa.binary())})
+
+
+def _suspects(segments: int):
+    """The keys of a block that its answers don't rule out, with their owners."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        said = dict(zip(answers.column("segment").to_pylist(), answers.column("said").to_pylist(), strict=True))
+        keys, owners = pa.array([], pa.binary()), pa.array([], pa.int64())
+        for row in blocks.to_pylist():  # one
+            hashes, where = np.unique(np.frombuffer(row["hashes"], np.uint64), return_inverse=True)
+            keep = np.concatenate([np.unpackbits(np.frombuffer(said[s], np.uint8), count=b - a) for s, a, b in B.ranges(hashes, 64, segments)]).astype(bool)[where]
+            ends = np.cumsum(np.frombuffer(row["sizes"], np.int32), dtype=np.int64)
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            raw = B.unsqueeze(row["keys"])
+            every = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+            kept = pa.array(keep, pa.bool_())
+            keys = every.filter(kept)
+            owners = pa.array(np.frombuffer(B.unsqueeze(row["owners"]), np.int64)).filter(kept)
+        give_back()
+        return pa.table({"key": keys, "owner": owners})
 
     return run
 
@@ -176,28 +195,27 @@ def _drop(text_at: int, names: list[str]):
     return run
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """owner (doc_id, LAST if null), digests (of the keys that the document loses)."""
-    spark = docs.sparkSession
-    segments = parts(spark)
-    hashes = docs.select("text").mapInArrow(lean(_deal(segments, min_chars)), "segment int, seen binary, again binary")
-    filters = stored(hashes.groupBy("segment").applyInArrow(_build, "segment int, bits binary"))
-    total = filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    sent = spark.sparkContext.broadcast({r.segment: bytes(r.bits) for r in filters.collect()}) if total <= broadcast_bytes else None
+    segments = parts(docs.sparkSession)
     owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    suspects = stored(docs.select(owner.alias("owner"), "text").mapInArrow(lean(_suspects(segments, min_chars, sent)), "key binary, owner long"))
+    blocks = bucketed(docs.select(owner.alias("owner"), "text").mapInArrow(lean(_blocks(min_chars)), BLOCKS), "block")
+    dealt = blocks.select("block", "hashes").mapInArrow(lean(_deal(segments)), "segment int, block long, seen binary, again binary")
+    said = dealt.groupBy("segment").applyInArrow(_filter, "segment int, block long, said binary")
+    suspects = stored(blocks.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_suspects(segments), "key binary, owner long"))
+    release(blocks)
     # stored, so that both sides of the join are plain exchanges: a key in a third of all documents can then be split
     firsts = stored(suspects.groupBy(F.col("key").alias("_key")).agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last"))
     losses = stored(suspects.join(firsts, F.col("key") == F.col("_key")).where("owner <> first").select("owner", "key"))
-    release(suspects, firsts, filters)
+    release(suspects, firsts)
     return losses.mapInArrow(lean(_digests), "owner long, digest binary").groupBy("owner").agg(F.collect_set("digest").alias("digests"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs (doc_id, text, ...) with the lines that stay in text, and n_lines (before), n_dropped."""
     names = docs.columns
     id_at, text_at = names.index("doc_id"), names.index("text")
-    losses = repeated_lines(docs, min_chars, broadcast_bytes)
+    losses = repeated_lines(docs, min_chars)
     plain = [f"c{i}" for i in range(len(names))]
     rows = docs.toDF(*plain)
     owner = F.coalesce(F.col(plain[id_at]).cast("long"), F.lit(LAST))

@@ -33,8 +33,11 @@ def test_odd_rows(odd, odd_rows):
     assert got(done) == brute(odd_rows)
 
 
-def test_without_filter(odd, odd_rows):
-    assert got(L.dedup_lines(odd, broadcast_bytes=-1)) == brute(odd_rows)
+def test_several_blocks(documents, odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_KEYS", 3)
+    assert got(L.dedup_lines(odd)) == brute(odd_rows)
+    rows = [(i, f"line number {i % 7} of seven\nline number {i % 11} of eleven\nunique {i} " + "x" * 12, "en", "s") for i in range(90)]
+    assert got(L.dedup_lines(documents(rows).repartition(5))) == brute(rows)
 
 
 def test_empty_table(empty):
@@ -64,6 +67,5 @@ def test_filters_know_all_that_repeats():
     both = L.Twice(len(seen) + 500)
     both.add(seen)
     both.add(seen[:500])
-    bits = np.packbits(both.twice)
-    assert L.in_filter(seen[:500], bits).all()
-    assert L.in_filter(seen[500:], bits).mean() < 0.05
+    assert both.suspected(seen[:500]).all()
+    assert both.suspected(seen[500:]).mean() < 0.05
