@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A collected or broadcast helper table must not exceed this many bytes (checked before it is sent).
-BROADCAST_BYTES = 64 << 20
 #: Words of a text: runs of anything but ASCII white space (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -68,6 +68,52 @@ def test_text_behind_deep_nesting_hangs_where_it_stands():
     assert [(leaf.text, leaf.depth) for leaf in leaves] == [("in", 251), ("out", 191), ("end", 1)]
 
 
+def test_decoding_against_all_choices():
+    """On small trees: the best of all choices in which nothing is kept inside a dropped node."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        nodes = [H.Node("#root", None)]
+        for i in range(8):
+            nodes.append(H.Node("div", nodes[rng.integers(0, len(nodes))]))
+            nodes[-1].text = f"t{i}"
+        order, todo = [], [nodes[0]]
+        while todo:
+            n = todo.pop()
+            order.append(n)
+            todo.extend(reversed(n.children))
+        odds = rng.normal(0, 3, len(order))
+        gain = {id(n): (-np.logaddexp(0, -o), -np.logaddexp(0, o)) for n, o in zip(order, odds, strict=True)}
+        best, kept = -np.inf, None
+        for choice in itertools.product([True, False], repeat=len(order)):
+            on = {id(n): c for n, c in zip(order, choice, strict=True)}
+            if all(n.parent is None or on[id(n.parent)] or not on[id(n)] for n in order):
+                value = sum(gain[id(n)][0 if on[id(n)] else 1] for n in order)
+                if value > best:
+                    best, kept = value, [n.text for n in order if on[id(n)] and n.text is not None]
+        assert H.decode(order, odds) == kept
+
+
+def test_scores_against_a_walk_of_each_tree():
+    import numpy as np
+
+    pages = [page for page, _ in html_pages.generate(3, seed=5)]
+    x = np.concatenate([H.features(*H.read(p))[1] for p in pages])
+    expected = []
+    for row in x:
+        total = 0.0
+        for feature, cut, value in H.model().trees:
+            at = 0
+            for _ in range(H.DEPTH):
+                at = 2 * at + 1 + (row[feature[at]] > cut[at])
+            total += value[at - (2**H.DEPTH - 1)]
+        expected.append(total)
+    assert np.allclose(H.model().score(x), expected)
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "words" + "</div>" * 3000
     rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "no tags at all", "x"), (4, "u", "<p>&lt;unclosed <b>x", "x"), (5, "u", deep, "x"), (6, "u", "<article><p>" + "long text. " * 50_000, "x"), (None, "u", "<", "x"), (6, "u", "<a <b> 'c\"", "x")]

@@ -51,6 +51,27 @@ def test_every_label_is_learned(documents):
     assert all(0 < len(d) <= 900 for d in learned.values())
 
 
+def test_against_plain_compression():
+    """The label is that of the least sum of plain compressed sizes, block by block."""
+    import zstandard
+
+    dictionaries = {k: text(k, 1, 2000).encode() for k in SYLLABLES}
+    model = L.Identifier(dictionaries)
+
+    def size(label, block):
+        own = zstandard.ZstdCompressionDict(dictionaries[label], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        frame = lambda raw: len(zstandard.ZstdCompressor(level=L.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw))
+        return frame(block) - frame(b"") + 1
+
+    for i in range(40):
+        words = " ".join(L._LETTERS.findall(text(sorted(SYLLABLES)[i % 3], 100 + i, 5 + 70 * i).lower()))
+        blocks = [words[a : a + L.BLOCK].encode() for a in range(0, len(words), L.BLOCK)]
+        sums = sorted((sum(size(k, b) for b in blocks), k) for k in SYLLABLES)
+        label, score, rejected = model.predict(words)
+        assert (label, rejected) == (sums[0][1], score < L.MARGIN)
+        assert abs(score - (1 - sums[0][0] / sums[1][0])) < 1e-12
+
+
 def test_end_of_a_long_text_counts():
     model = L.Identifier({k: text(k, 1, 3000).encode() for k in SYLLABLES})
     mixed = text("fr", 2, 2000) + " " + text("de", 3, 6000)

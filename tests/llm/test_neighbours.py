@@ -35,14 +35,37 @@ def test_recall_and_blocks(spark):
     centres = rng.standard_normal((20, 24))
     rows = [(i, centres[i % 20] + 0.5 * rng.standard_normal(24)) for i in range(1500)]
     expected = brute(rows)
-    found = got(N.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, block=400, chunk=10))
+    found = got(N.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, leaf=100, block=64, chunk=10))
     assert found.keys() == expected.keys()
     assert np.mean([len({*found[q]} & {*expected[q]}) / 5 for q in expected]) >= 0.97
 
 
+def test_recall_without_structure(spark):
+    """Uniform directions: the test rules out part of the leaves, and rarely wrongly."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(32)) for i in range(4000)]
+    expected = brute(rows)
+    found = got(N.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, leaf=64))
+    assert np.mean([len({*found[q]} & {*expected[q]}) / 5 for q in expected]) >= 0.9
+
+
+def test_near_leaves_are_enough_for_near_neighbours():
+    """The second round visits few leaves where the first has found near ones."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((64, 48)) * 3
+    v = np.repeat(centres, 64, 0) + 0.1 * rng.standard_normal((64 * 64, 48))
+    p = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ N.projection(48, N.DIMS)
+    leaf = N.Tree(p, 6).leaf(p)
+    low, high = (np.array([f(p[leaf == x], axis=0) for x in np.unique(leaf)]) for f in (np.min, np.max))
+    x = N.box_distances(p, low, high)
+    assert (x[np.arange(len(p)), np.searchsorted(np.unique(leaf), leaf)] == 0).all()
+    least = 0.99
+    assert (x <= N.chi_square_at(N.CONFIDENCE, N.DIMS) * (2 - 2 * least)).mean() < 0.25
+
+
 def test_ties_of_a_common_vector(spark):
     rows = [(i, [1, 2, 3, 4]) if i % 3 else (i, [i, 1, 0, 2]) for i in range(300)]
-    assert got(N.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, block=64)) == brute(rows)
+    assert got(N.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, block=64, leaf=32)) == brute(rows)
 
 
 def test_odd_rows(spark):
