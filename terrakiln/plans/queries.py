@@ -12,6 +12,7 @@ from ..operators import crop as C
 from ..operators import models as M
 from ..operators import output as O
 from ..operators import selection as S
+from ..recon import build as R
 from ..recon import planes as P
 from ..store import kept
 from . import views as V
@@ -257,13 +258,28 @@ def roof_planes(spark: SparkSession, d: str) -> DataFrame:
     return P.roof_planes(thin.join(standard.select("fid", "pc"), ["fid", "pc"], "left_semi"))
 
 
+def reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    """The solids of the buildings that routing doesn't skip, by acquisition and LoD, with their checks and measures."""
+    cropped, footprints = kept(_cropped(spark, d)), V.footprint(spark, d)
+    stats = kept(_stats(spark, d, cropped))
+    modes = M.route(stats, footprints, C.areas(footprints), forced=["R"]).where("mode <> 'SKIP'")
+    ground = M.ground_height(stats, footprints, V.points(spark, d))
+    own = modes.join(footprints.select("fid", "rings"), "fid").join(ground, "fid").select("fid", "pc", "rings", F.col("ground").alias("floor"), (F.col("mode") == "LOD11").alias("block"))
+    thin = C.thin(cropped.where("cls = 6"), C.most_in_cell(20.0, 100), 100)
+    return R.buildings(thin.join(modes.select("fid", "pc"), ["fid", "pc"], "left_semi"), own)
+
+
+def block_models(spark: SparkSession, d: str) -> DataFrame:
+    return reconstruction(spark, d).where("lod = '1.1'").select("fid", "pc", "n_roof", "bad_edges", F.round("volume", 4).alias("volume"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         crop_counts, cell_bands, building_stats, thinned, thinned_blocks, tiles, tile_order, areas, rings_repaired, file_tiles, aoi_counts, z98, mutations, selection,
         year_override, terrain_source, terrain_grid, terrain_triangles, terrain_local, terrain_filled, nodata_filled, ground_height, ground_user, routing, status_counts,
         prism_measures, prism_faces, attributes, features, circles, edge_angles, overlap, roof_rmse, roof_errors, region_stats, steps_merged, nearest_points, part_adjacency,
-        roof_planes,
+        roof_planes, reconstruction, block_models,
     )
 }
 
@@ -413,6 +429,11 @@ SQL: dict[str, str] = {
         SELECT fid, n_own, n_shared, count(g.rid) AS n_taken FROM facts LEFT JOIN given g USING (fid) GROUP BY fid, n_own, n_shared""",
     "roof_rmse": _with(_ROOF_PLANES) + "SELECT fid, pc, count(*) AS n, round(sqrt(avg(off * off)), 6) AS rmse FROM residual GROUP BY fid, pc",
     "roof_errors": _with(_ROOF_PLANES) + f"SELECT pc, face, len(list_filter({list(M.ERROR_BINS)}, lambda b: b <= off)) AS bin, count(*) AS n FROM residual GROUP BY ALL",
+    "block_models": _with(_CELLS, _STATS, _GRID, _GROUND, _MODES) + """, thin AS (
+          SELECT fid, pc, z, row_number() OVER (PARTITION BY fid, pc, (x - ox) // 100, (y - oy) // 100 ORDER BY (x * 31 + y * 17 + z) % 1009, x, y, z, cls, yr) AS k FROM cropped WHERE inside AND cls = 6),
+        tops AS (SELECT fid, pc, list_sort(list(z)) AS h, count(*) AS n FROM thin WHERE k <= 20 GROUP BY fid, pc)
+        SELECT fid, pc, 1::BIGINT AS n_roof, 0::BIGINT AS bad_edges, round(area2 / 20000.0::DOUBLE * (h[floor((n - 1) * 0.7::DOUBLE)::BIGINT + 1] - coalesce(own, near, lowest)) / 100, 4) AS volume
+        FROM tops JOIN modes USING (fid, pc) JOIN area USING (fid) JOIN levels USING (fid) WHERE mode <> 'SKIP'""",
     "region_stats": _with(_REGIONS) + "SELECT * FROM regions",
     "nearest_points": _with(_NEAREST) + "SELECT fid, pc, i, rank, dist::BIGINT AS d FROM ranked WHERE rank <= 5",
     "part_adjacency": _with(_NEAREST) + "SELECT fid, pc, greatest(la, lb) AS high, least(la, lb) AS low, count(*) AS n FROM ranked WHERE rank <= 5 AND la <> lb GROUP BY ALL",

@@ -37,6 +37,32 @@ def test_geojson(spark, tmp_path):
     assert tuple(turned.select(polygons.area2(F.col("r")), polygons.area2(F.col("h"))).first()) == (200, -8)
 
 
+def test_city_holes_attributes_and_labels(spark):
+    rings = [[(0, 0), (10, 0), (10, 10), (0, 10)], [(3, 3), (7, 3), (7, 7), (3, 7)]]
+    base = spark.createDataFrame([(7, rings, 0, 5)], "fid long, rings array<array<struct<x: long, y: long>>>, base long, top long")
+    line = json.loads(city.features(M.prism(base).withColumn("attributes", F.lit('{"a":null,"b":2}'))).first().value)
+    shell = line["CityObjects"]["7-0"]["geometry"][0]["boundaries"][0]
+    assert sorted(len(rings) for rings in shell) == [1] * 8 + [2, 2]
+    assert line["CityObjects"]["7"]["attributes"] == {"fid": 7, "a": None, "b": 2}
+    square = [(0.0, 0.0, 1.9), (1.0, 0.0, 1.9), (0.0, -1.9, 1.9)]
+    told = json.loads(city.feature("x", {"2.2": [(1, [square]), (1, [square]), (3, [square])]}, roofs=[{"slope": 1}, {"slope": 2}]))
+    solid = told["CityObjects"]["x-0"]["geometry"][0]
+    assert solid["semantics"] == {"surfaces": [{"type": "RoofSurface", "slope": 1}, {"type": "RoofSurface", "slope": 2}, {"type": "InteriorWallSurface"}], "values": [[0, 1, 2]]}
+    assert told["vertices"] == [[0, 0, 1], [1, 0, 1], [0, -1, 1]]
+    with pytest.raises(ValueError, match="label"):
+        city.feature("x", {"1.2": [(9, [square])]})
+    assert city.features(M.prism(base).limit(0)).count() == 0
+
+
+def test_terrain_relief():
+    tri = lambda *p: [(*q, 0.0) for q in p]
+    three = np.array([tri((0, 0), (1, 0), (0, 1)), tri((1, 0), (1, 1), (0, 1)), tri((1, 1), (2, 1), (2, 2))])
+    assert city.components(three).tolist() == [0, 0, 1]
+    line = json.loads(city.terrain_feature("t", three))
+    assert [len(s["boundaries"]) for s in line["CityObjects"]["t"]["geometry"]] == [2, 1] and len(line["vertices"]) == 6
+    assert json.loads(city.terrain_feature("t", three[:0]))["vertices"] == []
+
+
 def test_city_lines(spark, tmp_path):
     ring = [(0, 0), (10, 0), (10, 10), (0, 10)]
     base = spark.createDataFrame([(7, ring, 0, 5)], "fid long, ring array<struct<x: long, y: long>>, base long, top long")
@@ -45,6 +71,12 @@ def test_city_lines(spark, tmp_path):
     solid = line["CityObjects"]["7-0"]["geometry"][0]
     assert len(line["vertices"]) == 8 and max(map(max, line["vertices"])) == 1000
     assert [solid["semantics"]["surfaces"][v]["type"] for v in solid["semantics"]["values"][0]] == ["GroundSurface", "RoofSurface"] + ["WallSurface"] * 4
-    city.write(lines.withColumn("tile_x", F.lit(0)).withColumn("tile_y", F.lit(1)), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 1
+    assert line["CityObjects"]["7"]["geometry"][0]["lod"] == "0" and line["CityObjects"]["7"]["attributes"] == {"fid": 7}
+    placed = lines.withColumn("tile_x", F.lit(0)).withColumn("tile_y", F.lit(1))
+    city.write(placed, str(tmp_path / "out"), city.metadata_line((0, 0, 0)))
+    kept = [json.loads(r.value)["type"] for r in spark.read.text(str(tmp_path / "out" / "tile_x=0" / "tile_y=1")).collect()]
+    assert kept == ["CityJSON", "CityJSONFeature"]
+    city.write_names(placed, str(tmp_path / "names"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "names")).collect()] == ["7"]
+    assert json.loads(city.metadata_line((0, 0, 0), extent=(0, 0, 0, 1, 1, 1)))["metadata"]["geographicalExtent"][3] == 1
     assert json.loads(city.metadata_line((0, 0, 0), day="2024-01-01"))["metadata"]["referenceDate"] == "2024-01-01"
