@@ -219,14 +219,17 @@ def told(answers: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Answers, with those of before, as a table bucketed by block: they are moved once, however often blocks read them."""
     spark = answers.sparkSession
     own = answers.repartition(parts(spark), "block")
+    del answers
     if before is None:
         first = bucketed(own, "block")
+        del own
         sweep(spark)
         return first
     path, name = before._held
     own.write.bucketBy(parts(spark), "block").option("path", path).format("parquet").mode("append").saveAsTable(name)
     spark.catalog.refreshTable(name)
-    sweep(spark)
+    del own
+    sweep(spark)  # what was asked and answered is written: its shuffle files can go
     out = spark.table(name)
     out._held = before._held
     return out

@@ -91,7 +91,7 @@ def _ask(kind: int, block: int, c: Corpus, bits: int, keys: np.ndarray, own: np.
         row = {"shard": shard, "kind": kind, "block": block, "keys": B.pack_keys(keys[a:b]), "own": B.pack(own[a:b].astype(np.int32)), "kinds": None, "mass": None, "gain": None}
         if sums is not None:
             kinds, mass, gain = (s[a:b] for s in sums)
-            row |= {"kinds": B.pack(kinds.astype(np.int32)), "mass": B.pack(mass.astype(np.int32)), "gain": B.pack(gain)}
+            row |= {"kinds": B.pack(kinds.astype(np.int32)), "mass": B.pack(mass.astype(np.int32)), "gain": B.pack(gain.astype(np.float32))}
         yield row
 
 
@@ -138,7 +138,7 @@ def _states(rows: list[dict]) -> Iterator[dict]:
     keys, where, n = _numbered(rows)
     times = np.zeros(n, np.int64)
     times[where] = np.concatenate([B.unpack(r["own"], np.int32) for r in rows])  # every block knows the context's count
-    kinds, mass, gain = (np.bincount(where, np.concatenate([B.unpack(r[c], t) for r in rows]), n) for c, t in (("kinds", np.int32), ("mass", np.int32), ("gain", np.float64)))
+    kinds, mass, gain = (np.bincount(where, np.concatenate([B.unpack(r[c], t) for r in rows]), n) for c, t in (("kinds", np.int32), ("mass", np.int32), ("gain", np.float32)))
     once = times - mass
     alone = np.where(once > 0, once * np.log(np.maximum(DISCOUNT * (once + kinds - 1), DISCOUNT / 2) / np.maximum(times - 1, 1)), 0)
     state = ((kinds > 0) & (gain + alone > GAIN))[where]
