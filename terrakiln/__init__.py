@@ -1 +1,5 @@
-"""Terrakiln: building analytics from point clouds and footprints, on PySpark DataFrames."""
+"""Building analytics from point clouds and footprints, and corpus operators, on PySpark."""
+
+from .recon.build import BuildParameters, Mesh, reconstruct, triangulate_mesh
+
+__all__ = ["BuildParameters", "Mesh", "reconstruct", "triangulate_mesh"]

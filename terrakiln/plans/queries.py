@@ -14,6 +14,7 @@ from ..operators import output as O
 from ..operators import selection as S
 from ..recon import build as R
 from ..recon import planes as P
+from ..recon import shapes as H
 from ..store import kept
 from . import views as V
 
@@ -258,19 +259,37 @@ def roof_planes(spark: SparkSession, d: str) -> DataFrame:
     return P.roof_planes(thin.join(standard.select("fid", "pc"), ["fid", "pc"], "left_semi"))
 
 
-def reconstruction(spark: SparkSession, d: str) -> DataFrame:
-    """The solids of the buildings that routing doesn't skip, by acquisition and LoD, with their checks and measures."""
+def _solids(spark: SparkSession, d: str, blocks: bool) -> DataFrame:
     cropped, footprints = kept(_cropped(spark, d)), V.footprint(spark, d)
     stats = kept(_stats(spark, d, cropped))
     modes = M.route(stats, footprints, C.areas(footprints), forced=["R"]).where("mode <> 'SKIP'")
     ground = M.ground_height(stats, footprints, V.points(spark, d))
-    own = modes.join(footprints.select("fid", "rings"), "fid").join(ground, "fid").select("fid", "pc", "rings", F.col("ground").alias("floor"), (F.col("mode") == "LOD11").alias("block"))
+    own = modes.join(footprints.select("fid", "rings"), "fid").join(ground, "fid").select("fid", "pc", "rings", F.col("ground").alias("floor"), (F.lit(blocks) | (F.col("mode") == "LOD11")).alias("block"))
     thin = C.thin(cropped.where("cls = 6"), C.most_in_cell(20.0, 100), 100)
     return R.buildings(thin.join(modes.select("fid", "pc"), ["fid", "pc"], "left_semi"), own)
 
 
+def reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    """The solids of the buildings that routing doesn't skip, by acquisition and LoD, with their checks and measures."""
+    return _solids(spark, d, False)
+
+
+def empty_circles(spark: SparkSession, d: str) -> DataFrame:
+    """The largest gap in each building's points, by acquisition."""
+    thin = C.thin(_cropped(spark, d), C.most_in_cell(20.0, 100), 100)
+    own = V.footprint(spark, d).select("fid", "rings", F.explode(F.array(*[F.lit(pc) for pc in PCS])).alias("pc"))
+    return H.empty_circles(thin, own)
+
+
+def selection_by_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """The selection with the test of gaps as well."""
+    cropped, sources = kept(_cropped(spark, d)), V.pc_source(spark)
+    moved = S.mutation(C.bands(cropped), C.mask(V.footprint(spark, d)), S.all_pairs(sources))
+    return S.select(_stats(spark, d, cropped).join(empty_circles(spark, d), ["fid", "pc"], "left"), sources, moved)
+
+
 def block_models(spark: SparkSession, d: str) -> DataFrame:
-    return reconstruction(spark, d).where("lod = '1.1'").select("fid", "pc", "n_roof", "bad_edges", F.round("volume", 4).alias("volume"))
+    return _solids(spark, d, True).where("lod = '1.1'").select("fid", "pc", "n_roof", "bad_edges", F.round("volume", 4).alias("volume"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -279,7 +298,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         crop_counts, cell_bands, building_stats, thinned, thinned_blocks, tiles, tile_order, areas, rings_repaired, file_tiles, aoi_counts, z98, mutations, selection,
         year_override, terrain_source, terrain_grid, terrain_triangles, terrain_local, terrain_filled, nodata_filled, ground_height, ground_user, routing, status_counts,
         prism_measures, prism_faces, attributes, features, circles, edge_angles, overlap, roof_rmse, roof_errors, region_stats, steps_merged, nearest_points, part_adjacency,
-        roof_planes, reconstruction, block_models,
+        roof_planes, reconstruction, block_models, empty_circles, selection_by_gaps,
     )
 }
 

@@ -35,6 +35,8 @@ LODS = ("1.1", "1.2", "1.3", "2.2")
 @dataclass(frozen=True)
 class BuildParameters:
     planes: P.PlaneParameters = P.PlaneParameters()
+    detector: str = "grow"
+    regularise: bool = False
     data_weight: float = 0.888
     line_angle: float = 8.59
     line_distance: float = 0.8
@@ -215,7 +217,8 @@ def reconstruct(roof: np.ndarray, rings: list[np.ndarray], floor: float, p: Buil
     meshes = {lod: prism() for lod in LODS}
     if not block:
         try:
-            found = P.detect(points, p.planes)
+            found = P.DETECTORS[p.detector](points, p.planes)
+            found = P.regularise(found, points) if p.regularise and found.planes else found
             status = "ok" if found.planes else found.roof_type
             if found.planes:
                 meshes |= _with_planes(points, found, rings, floor, p)

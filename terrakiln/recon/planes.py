@@ -32,6 +32,9 @@ class PlaneParameters:
     line_distance: float = 1.0
 
 
+DEFAULTS = PlaneParameters()
+
+
 @dataclass
 class Planes:
     """label: 0 for points of no plane, else from 1 in order of detection. planes: unit normal and offset, a x + b y + c z + d = 0."""
@@ -151,6 +154,74 @@ def detect(points: np.ndarray, p: PlaneParameters = PlaneParameters()) -> Planes
     return found
 
 
+def ransac(points: np.ndarray, p: PlaneParameters = PlaneParameters(), rounds: int = 400, seed: int = 1) -> Planes:
+    """Planes by drawing: of `rounds` planes through three points, the one with the most points near it is taken, again and
+    again, while it has enough. Drawn from the sorted points with a fixed seed."""
+    found = Planes(np.zeros(len(points), np.int64))
+    if len(points) < p.least_points:
+        return found
+    found.started = True
+    rng = np.random.default_rng(seed)
+    left = np.arange(len(points))
+    while len(left) >= p.least_points and len(found.planes) < p.most_regions:
+        own = points[left]
+        best = np.zeros(len(left), bool)
+        for _ in range(rounds):
+            a, b, c = own[rng.choice(len(left), 3, replace=False)]
+            normal = np.cross(b - a, c - a)
+            size = float(np.linalg.norm(normal))
+            if size > 1e-9:
+                near = np.abs((own - a) @ (normal / size)) < p.distance
+                if near.sum() > best.sum():
+                    best = near
+        if best.sum() < p.least_points:
+            break
+        plane = fit(own[best])
+        tilt = math.degrees(math.acos(min(1.0, abs(plane[2]))))
+        members, left = left[best], left[~best]
+        if tilt > p.wall_degrees:
+            continue
+        number = len(found.planes) + 1
+        found.label[members], found.planes[number] = number, plane
+        if tilt < p.horizontal_degrees:
+            found.horizontal.add(number)
+    return found
+
+
+def regularise(found: Planes, points: np.ndarray, degrees: float = 5.0, offset: float = 0.2) -> Planes:
+    """Planes whose normals differ by less than degrees share their mean, weighted by points; of those, planes less than
+    offset apart are one. Larger planes come first."""
+    order = sorted(found.planes, key=lambda k: (-(found.label == k).sum(), k))
+    groups: list[list[int]] = []
+    for k in order:
+        near = next((g for g in groups if abs(found.planes[g[0]][:3] @ found.planes[k][:3]) > math.cos(math.radians(degrees))), None)
+        if near is None:
+            groups.append([k])
+        else:
+            near.append(k)
+    out = Planes(np.zeros_like(found.label), started=found.started)
+    for g in groups:
+        normal = sum(found.planes[k][:3] * np.sign(found.planes[k][:3] @ found.planes[g[0]][:3]) * (found.label == k).sum() for k in g)
+        normal = normal / np.linalg.norm(normal)
+        made: list[int] = []
+        for k in g:
+            own = found.label == k
+            d = -float((points[own] @ normal).mean())
+            same = next((m for m in made if abs(out.planes[m][3] - d) < offset), None)
+            if same is None:
+                same = len(out.planes) + 1
+                made.append(same)
+                out.planes[same] = np.array([*normal, d])
+                if math.degrees(math.acos(min(1.0, abs(normal[2])))) < DEFAULTS.horizontal_degrees:
+                    out.horizontal.add(same)
+            out.label[own] = same
+    return out
+
+
+#: Ways to find planes: points and parameters to Planes.
+DETECTORS = {"grow": detect, "ransac": ransac}
+
+
 def adjacency(label: np.ndarray, around: np.ndarray) -> dict[tuple[int, int], int]:
     """How often a point of one plane has a neighbour of another: (higher, lower) -> count, both directions."""
     a, b = np.broadcast_to(label[:, None], around.shape).ravel(), label[around].ravel()
