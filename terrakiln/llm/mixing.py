@@ -4,9 +4,10 @@ Every document gets the exponential key ln(u) / w: u is uniform, hashed from its
 source, documents stand by falling key. A source's budget buys whole epochs of the source first; what remains goes to
 the documents at the front of that order, the one at the border in part.
 
-Only (source, bucket) sums and the rows of one bucket per source are ever shuffled: buckets cut the key's range, so the
-prefix sum needs no sort of a whole source, and a source with a third of all rows is no single task. The decision is a
-threshold per source, applied to the documents where they are.
+Only sums by (source, bucket) and the rows of one small bucket per source are ever shuffled: buckets cut the key's range, so
+the prefix sum needs no sort of a whole source, and a source with a third of all rows is no single task. The bucket at a
+source's border is cut again: with weights from 0.1 to 1 a bucket has at most 0.3 % of a source's rows, a part of it about
+1 / BUCKETS of that. The decision is a threshold per source, applied to the documents where they are.
 
 Defined cases: a null or empty text has size 0 and takes 0; a null source is a source of its own, last in order; a null
 id hashes as the text "null"; rows with the same source, id and size share what is left at the border evenly; an empty
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WORD, small, stored, table
 
 SHARE, CAP, SOURCE_WEIGHTS, SEED = 1.5, 2, (3, 1, 2), "mix"
-#: Cuts of the key's range, per source.
+#: Cuts of the key's range, per source, and of the bucket at the border.
 BUCKETS = 2048
 #: A plan of up to this many sources is broadcast; a larger one is joined by a shuffle.
 PLAN_ROWS = 20_000
@@ -79,8 +80,8 @@ def mix_plan(
     keyed: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple[int, ...] = SOURCE_WEIGHTS, buckets: int = BUCKETS
 ) -> DataFrame:
     """A row per source: source_size, target, epochs, and the border of the fraction: edge_key, edge_id, edge_size, edge_words."""
-    bucket = F.floor((F.lit(1.0) - F.exp("key")) * buckets).cast("int")
-    dealt = keyed.withColumn("bucket", bucket)
+    place = -F.col("key") / (F.lit(1.0) - F.col("key")) * buckets  # rises as keys fall; spreads keys of all weights
+    dealt = keyed.withColumn("bucket", F.floor(place).cast("int")).withColumn("part", F.floor((place - F.floor(place)) * buckets).cast("int"))
     cells = stored(dealt.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
     targets = _targets(cells, share, cap, weights).withColumn(
         "epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
@@ -92,6 +93,12 @@ def mix_plan(
     borders = at.where((F.col("rest") > 0) & (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("size") >= F.col("rest")))
     borders = stored(borders.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.col("rest").alias("_rest"), F.col("ahead").alias("_ahead")))
     near = dealt.join(small(borders, PLAN_ROWS), F.col("_s").eqNullSafe(F.col("source")) & (F.col("_b") == F.col("bucket")))
+    parted = near.groupBy("source", "bucket", "part", "_rest", "_ahead").agg(F.sum("size").alias("size"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parted = parted.withColumn("_at", F.col("_ahead") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    parted = parted.where((F.col("_at") < F.col("_rest")) & (F.col("_at") + F.col("size") >= F.col("_rest")))
+    parted = stored(parted.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.col("part").alias("_p"), "_rest", F.col("_at").alias("_ahead")))
+    near = dealt.join(small(parted, PLAN_ROWS), F.col("_s").eqNullSafe(F.col("source")) & (F.col("_b") == F.col("bucket")) & (F.col("_p") == F.col("part")))
     # rows that no order can tell apart count as one, `n` times
     ties = near.groupBy("source", "key", "doc_id", "size", "_rest", "_ahead").agg(F.count("*").alias("n"))
     order = Window.partitionBy("source").orderBy(F.col("key").desc(), F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
