@@ -36,7 +36,7 @@ from . import blocks as B
 from .common import parts, table
 
 ADD, DISCOUNT, GAIN, DEPTH = 0.1, 0.6, 2.0, 3
-HELD_OUT, SPARE = 10, 18
+HELD_OUT, SPARE = 10, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 END, START = np.uint64(0x1234567890ABCDEF), np.uint64(0xFEDCBA0987654321)
 _END_KEY, _START_KEY = B.mix64(np.array([END, START]))
@@ -183,7 +183,6 @@ class Model:
         self.order = 1
         self.grams = Grams(self.hashed, np.arange(total), self.train, total)
         self.words = self.grams.keys != _START_KEY  # a start is a context, but no word
-        self.count: np.ndarray | None = None
 
     def hear(self, kind: int, keys: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, dict]]:
         """(places in keys, answer) of each answer of a kind."""
@@ -209,17 +208,13 @@ class Model:
     def next_order(self) -> None:
         """The n-grams of the next order that can repeat."""
         self.order += 1
-        fits = self.before >= self.order - 1
-        if self.count is not None:
-            self.times = np.zeros(self.total, np.int32)  # of the context
-            self.times[1:] = self.count[:-1]
-            self.follows = fits & (self.times > 1)
-        if self.order > 2:  # words and pairs are asked about together
-            fits = self.follows & (self.count > 1)
+        self.times = np.zeros(self.total, np.int32)  # of the context
+        self.times[1:] = self.count[:-1]
+        self.follows = (self.before >= self.order - 1) & (self.times > 1)
         chain = np.zeros(self.total, np.uint64)
         chain[1:] = B.mix64(self.chain[:-1] * _ODD + self.hashed[1:])
         self.chain, self.contexts = chain, self.grams
-        at = np.flatnonzero(fits)
+        at = np.flatnonzero(self.follows & (self.count > 1))
         self.grams = Grams(chain[at] >> np.uint64(64 - self.c.bits), at, self.train, self.total)
 
     def heard_counts(self) -> None:
@@ -267,6 +262,14 @@ def _first(c: Corpus):
     def f(block: B.Block) -> Iterator[dict]:
         m = Model(block, [], c)
         yield from _ask(2, block.id, c, 64, m.grams.keys[m.words], m.grams.own[m.words])
+
+    return f
+
+
+def _pairs(c: Corpus):
+    def f(block: B.Block, said: list[dict]) -> Iterator[dict]:
+        m = Model(block, said, c)
+        m.heard_words()
         m.next_order()
         yield from _ask(4, block.id, c, c.bits, m.grams.keys, m.grams.own)
 
@@ -324,6 +327,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def step(f: Callable, schema: str) -> DataFrame:
         return B.with_answers(held, told.where("block >= 0"), f, schema)
 
+    told = B.told(B.per_shard(step(_pairs(c), ASKED), _answer, SAID), told)
     for order in range(2, depth + 2):
         told = B.told(B.per_shard(step(_next(c, order, depth), ASKED), _answer, SAID), told)
     return step(_score(c, depth), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
