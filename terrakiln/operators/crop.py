@@ -93,12 +93,14 @@ def bands(cropped: DataFrame, cell: int = CELL) -> DataFrame:
     )
 
 
-def areas(footprints: DataFrame) -> DataFrame:
+def areas(footprints: DataFrame, square: int = SQUARE_METRE) -> DataFrame:
     """fid, area: square metres, without holes."""
-    return with_rings(footprints).select("fid", (G.area2_of(F.col("rings")) / 2 / SQUARE_METRE).alias("area"))
+    return with_rings(footprints).select("fid", (G.area2_of(F.col("rings")) / 2 / square).alias("area"))
 
 
-def building_stats(cropped: DataFrame, footprints: DataFrame, pcs: list[str], cell: int = CELL) -> DataFrame:
+def building_stats(
+    cropped: DataFrame, footprints: DataFrame, pcs: list[str], cell: int = CELL, *, square: int = SQUARE_METRE, min_density: float = MIN_DENSITY, max_nodata: float = MAX_NODATA, glass: float = GLASS
+) -> DataFrame:
     """Per building and acquisition: density over covered cells, share of cells without data, ground height, roof height,
     share of unbalanced cells, and whether it has too few points. Buildings without any point of an acquisition have a
     row too (all without data). cropped is read three times: keep it first. pcs: the acquisitions (configuration)."""
@@ -109,23 +111,23 @@ def building_stats(cropped: DataFrame, footprints: DataFrame, pcs: list[str], ce
     tops = G.percentiles(masked, ["fid", "pc"], "z_max", {"roof": ("n", ROOF_PERCENTILE)}).drop("n")
     ground = G.percentiles(cropped.where(F.col("cls") == GROUND_CLASS), ["fid", "pc"], "z", {"ground": ("n1", GROUND_PERCENTILE)}).drop("n")
     roofs = cropped.where((F.col("cls") == ROOF_CLASS) & F.col("inside")).groupBy("fid", "pc").agg(F.count("*").alias("n_roof"))
-    every = cells.join(areas(footprints), "fid").select("fid", "n_cells", "area", F.explode(F.array(*[F.lit(pc) for pc in pcs])).alias("pc"))
+    every = cells.join(areas(footprints, square), "fid").select("fid", "n_cells", "area", F.explode(F.array(*[F.lit(pc) for pc in pcs])).alias("pc"))
     out = every
     for part in (covered, tops, ground, roofs):
         out = out.join(part, ["fid", "pc"], "left")
     data = F.coalesce("n_data", F.lit(0))
     return out.select(
         "fid", "pc", F.coalesce("n_points", F.lit(0)).alias("n_points"), "n_cells", data.alias("n_data"),
-        F.round(F.coalesce(F.col("n_points") / (F.col("n_data") * (cell * cell / SQUARE_METRE)), F.lit(0.0)), 6).alias("density"),
+        F.round(F.coalesce(F.col("n_points") / (F.col("n_data") * (cell * cell / square)), F.lit(0.0)), 6).alias("density"),
         F.round(1 - data / F.col("n_cells"), 9).alias("nodata"), "ground", F.coalesce("roof", F.lit(0)).alias("roof"),
-        F.coalesce(F.col("imbalance") < GLASS, F.lit(False)).alias("glass_roof"),
-        ((F.coalesce("n_roof", F.lit(0)) / F.col("area") < MIN_DENSITY) | (1 - data / F.col("n_cells") > MAX_NODATA)).alias("insufficient"),
+        F.coalesce(F.col("imbalance") < glass, F.lit(False)).alias("glass_roof"),
+        ((F.coalesce("n_roof", F.lit(0)) / F.col("area") < min_density) | (1 - data / F.col("n_cells") > max_nodata)).alias("insufficient"),
     )
 
 
-def most_in_cell(density: float, cell: int) -> int:
+def most_in_cell(density: float, cell: int, square: int = SQUARE_METRE) -> int:
     """Points that a density ceiling (a square metre) allows in a raster cell."""
-    return int(density * cell * cell / SQUARE_METRE)
+    return int(density * cell * cell / square)
 
 
 def thin(cropped: DataFrame, most: int, cell: int) -> DataFrame:

@@ -39,23 +39,23 @@ def _paired(frame: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return frame.withColumn("_p", each).select("*", "_p.pc", "_p.pc_next").drop("_p")
 
 
-def mutation(cells: DataFrame, mask: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def mutation(cells: DataFrame, mask: DataFrame, pairs: list[tuple[str, str]], change: int = HEIGHT_CHANGE, share: float = CHANGED_SHARE) -> DataFrame:
     """fid, pc, pc_next, n_changed, mutated: cells that have data in both acquisitions and whose top moved by over
-    HEIGHT_CHANGE, against all cells of the footprint."""
+    change, against all cells of the footprint."""
     tops = cells.join(mask, ["fid", "col", "row"]).select("fid", "col", "row", "pc", "z_max")
     later = tops.select("fid", "col", "row", F.col("pc").alias("pc_next"), F.col("z_max").alias("z_next"))
     both = _paired(tops.withColumnRenamed("pc", "_pc"), pairs).where("_pc = pc").join(later, ["fid", "col", "row", "pc_next"])
-    changed = both.groupBy("fid", "pc", "pc_next").agg(F.count_if(F.abs(F.col("z_next") - F.col("z_max")) > HEIGHT_CHANGE).alias("n_changed"))
+    changed = both.groupBy("fid", "pc", "pc_next").agg(F.count_if(F.abs(F.col("z_next") - F.col("z_max")) > change).alias("n_changed"))
     rows = _paired(mask.groupBy("fid").agg(F.count("*").alias("n_cells")), pairs)
     n = F.coalesce("n_changed", F.lit(0))
-    return rows.join(changed, ["fid", "pc", "pc_next"], "left").select("fid", "pc", "pc_next", n.alias("n_changed"), (n / F.col("n_cells") >= CHANGED_SHARE).alias("mutated"))
+    return rows.join(changed, ["fid", "pc", "pc_next"], "left").select("fid", "pc", "pc_next", n.alias("n_changed"), (n / F.col("n_cells") >= share).alias("mutated"))
 
 
-def select(stats: DataFrame, sources: DataFrame, changes: DataFrame) -> DataFrame:
+def select(stats: DataFrame, sources: DataFrame, changes: DataFrame | None) -> DataFrame:
     """fid, pc, reason: the acquisition to reconstruct from. Sufficient is one with few cells without data (and no large
     gap, where stats has a radius). The best sufficient one by quality, if it is the latest sufficient one too or didn't
     change against that; else that one; where none suffices, the best covered one that didn't change against the newest.
-    changes: mutation() over all pairs. Sources of dates only don't compete, unless there are no others."""
+    changes: mutation() over all pairs, None where there is one acquisition. Sources of dates only don't compete, unless there are no others."""
     gap = F.coalesce(F.col("radius") <= MAX_RADIUS, F.lit(True)) if "radius" in stats.columns else F.lit(True)
     real = any(not r.date_only for r in configured(sources))
     rows = stats.join(sources.where("NOT date_only") if real else sources, "pc").withColumn("ok", (F.col("nodata") <= MAX_NODATA) & gap)
@@ -68,6 +68,8 @@ def select(stats: DataFrame, sources: DataFrame, changes: DataFrame) -> DataFram
     )
     pick = lambda rank: F.max(F.when(F.col(rank) == 1, F.col("pc")))
     best = ranked.groupBy("fid").agg(pick("by_quality").alias("best"), pick("by_date").alias("latest"), pick("newest").alias("newest"), F.max("ok").alias("ok"))
+    if changes is None:
+        changes = stats.limit(0).select("fid", "pc", F.col("pc").alias("pc_next"), F.lit(False).alias("mutated"))
     moved = changes.where("mutated").select("fid", F.col("pc").alias("_a"), F.col("pc_next").alias("_b"), F.lit(True).alias("_m"))
     of = moved.withColumnRenamed("fid", "_f")
     best = best.join(of, (F.col("fid") == F.col("_f")) & (F.col("best") == F.col("_a")) & (F.col("latest") == F.col("_b")), "left").drop("_f", "_a", "_b")
