@@ -1,17 +1,21 @@
-"""LAS point files (public LAS 1.2-1.4 record layout), as binary files of Spark's own reader: any store that Spark reads.
+"""LAS point files (public LAS 1.2-1.4 record layout), read in ranges of bytes from any store that pyarrow opens.
 
-read_las gives path, x, y, z, cls, intensity, gps_time and colours where the point format has them; read_headers gives
-the extents, which prune files before any point is read. Compressed (LAZ) files are refused.
+read_headers gives extents and reference systems without reading a point; read_las gives path, x, y, z, cls, intensity,
+gps_time and colours where the point format has them, opens only files whose extent meets an area, and splits large files
+over tasks. Compressed (LAZ) files are refused, or left out with a warning where asked for. Empty files have no points.
 """
 
 from __future__ import annotations
 
+import logging
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 HEADER = "path string, n_points long, format int, year int, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, crs string"
 POINTS = "path string, x double, y double, z double, cls int, intensity int, gps_time double, red double, green double, blue double"
@@ -21,8 +25,26 @@ _GPS = {0: None, 1: 20, 2: None, 3: 20, 6: 22, 7: 22, 8: 22}
 _RGB = {0: None, 1: None, 2: 20, 3: 28, 6: None, 7: 30, 8: 30}
 
 
-def _header(raw: bytes) -> dict:
-    if raw[:4] != b"LASF":
+def _open(path: str) -> pa.NativeFile:
+    """A file of any system that pyarrow opens, for reading in ranges."""
+    plain = path.startswith("file:") and not path.startswith("file://")
+    files, at = fs.FileSystem.from_uri(f"file://{path[5:]}" if plain else path)
+    return files.open_input_file(at)
+
+
+def _bytes(f: pa.NativeFile, at: int, n: int) -> bytes:
+    f.seek(at)
+    return f.read(n)
+
+
+def _crs(record: int, raw: bytes) -> str | None:
+    return raw.rstrip(b"\0").decode("utf-8", "replace") or None if record == WKT_RECORD else None
+
+
+def _header(f: pa.NativeFile) -> dict:
+    """A file's header, its reference system from the records before or behind the points; the points aren't read."""
+    raw = _bytes(f, 0, 375)
+    if raw[:4] != b"LASF" or len(raw) < 227:
         raise ValueError("not a LAS file")
     year, size, offset, n_vlr = struct.unpack_from("<HHII", raw, 92)
     kind, length, n = struct.unpack_from("<BHI", raw, 104)
@@ -35,36 +57,58 @@ def _header(raw: bytes) -> dict:
     max_x, min_x, max_y, min_y, max_z, min_z = struct.unpack_from("<6d", raw, 179)
     crs, at = None, size
     for _ in range(n_vlr):
-        record, long = struct.unpack_from("<HH", raw, at + 18)
-        if record == WKT_RECORD and long:
-            crs = raw[at + 54 : at + 54 + long].rstrip(b"\0").decode("utf-8", "replace") or None
+        record, long = struct.unpack_from("<HH", _bytes(f, at, 54), 18)
+        crs = crs or _crs(record, _bytes(f, at + 54, long) if record == WKT_RECORD else b"")
         at += 54 + long
+    if minor >= 4 and crs is None:
+        at, n_evlr = struct.unpack_from("<QI", raw, 235)
+        for _ in range(n_evlr):
+            head = _bytes(f, at, 60)
+            record, long = struct.unpack_from("<H", head, 18)[0], struct.unpack_from("<Q", head, 20)[0]
+            crs = crs or _crs(record, _bytes(f, at + 60, long) if record == WKT_RECORD else b"")
+            at += 60 + long
     return {"n_points": n, "format": kind, "length": length, "offset": offset, "year": year, "scale": scale, "shift": shift, "min_x": min_x, "min_y": min_y, "min_z": min_z, "max_x": max_x, "max_y": max_y, "max_z": max_z, "crs": crs}
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{las,LAS}").load(path).select("path", "content")
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The paths of LAS files in folders; their contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{las,LAS}").load(path).select("path")
 
 
-def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [{"path": p} | _header(raw) for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        names = [f.split()[0] for f in HEADER.split(", ")]
-        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-        yield pa.RecordBatch.from_pylist([{k: r[k] for k in names} for r in rows], pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in HEADER.split(", ")]))
+def _headers(skip: bool):
+    names = [f.split()[0] for f in HEADER.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in HEADER.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    with _open(path) as f:
+                        rows.append({"path": path} | _header(f))
+                except (ValueError, OSError, struct.error) as e:
+                    if not skip:
+                        raise ValueError(f"{path}: {e}") from e
+                    logging.getLogger(__name__).warning("%s is left out: %s", path, e)
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in names} for r in rows], schema)
+
+    return run
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path).mapInArrow(_headers, HEADER)
+def read_headers(spark: SparkSession, path: str | list[str], skip: bool = False) -> DataFrame:
+    """A row per file: extent, points, reference system. skip: files that can't be read are left out with a warning."""
+    return _files(spark, path).mapInArrow(_headers(skip), HEADER)
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            h = _header(raw)
-            if h["format"] not in _GPS:
-                raise ValueError(f"point format {h['format']} can't be read")
-            rows = np.frombuffer(raw, np.uint8, h["n_points"] * h["length"], h["offset"]).reshape(-1, h["length"])
+        for path, first, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            with _open(path) as f:
+                h = _header(f)
+                if h["format"] not in _GPS:
+                    raise ValueError(f"{path}: point format {h['format']} can't be read")
+                rows = np.frombuffer(_bytes(f, h["offset"] + first * h["length"], n * h["length"]), np.uint8).reshape(-1, h["length"])
 
             def field(at: int, kind: str, rows=rows) -> np.ndarray:
                 return np.ascontiguousarray(rows[:, at : at + np.dtype(kind).itemsize]).view(kind).ravel()
@@ -80,8 +124,17 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in POINTS.split(", ")])
 
 
-def read_las(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path).mapInArrow(_points, POINTS)
+def read_las(spark: SparkSession, path: str | list[str], area: tuple[float, float, float, float] | None = None, skip: bool = False, split: int = 2_000_000) -> DataFrame:
+    """The points of files, in parts of at most `split`. area (least x, y, greatest x, y): only files whose extent meets it
+    are opened, only points inside are returned."""
+    heads = read_headers(spark, path, skip).where("n_points > 0")
+    if area is not None:
+        x0, y0, x1, y1 = area
+        heads = heads.where((F.col("max_x") >= x0) & (F.col("min_x") <= x1) & (F.col("max_y") >= y0) & (F.col("min_y") <= y1))
+    first = heads.select("path", "n_points", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_points") - 1, F.lit(split).cast("long"))).alias("first"))
+    parts = first.select("path", "first", F.least(F.lit(split), F.col("n_points") - F.col("first")).alias("n")).repartition("path", "first")
+    points = parts.mapInArrow(_points, POINTS)
+    return points if area is None else points.where((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1))
 
 
 def write_las(points: np.ndarray, cls: np.ndarray, scale: float = 0.01, year: int = 2020, wkt: str = "") -> bytes:

@@ -22,6 +22,36 @@ def test_las_round_trip(spark, tmp_path):
     assert sorted((round(r.x, 2), round(r.y, 2), round(r.z, 2), r.cls) for r in rows) == sorted((*map(float, p), int(c)) for p, c in zip(xyz, cls, strict=True))
 
 
+def test_las_area_parts_and_bad_files(spark, tmp_path):
+    grid = np.array([(x, y, 1.0) for x in range(10) for y in range(10)], float)
+    (tmp_path / "near.las").write_bytes(las.write_las(grid, np.full(100, 6)))
+    (tmp_path / "far.las").write_bytes(las.write_las(grid + [1000, 0, 0], np.full(100, 6)))
+    found = las.read_las(spark, str(tmp_path), (2, 2, 5, 4), split=7).collect()
+    assert sorted((r.x, r.y) for r in found) == [(x, y) for x in (2, 3, 4) for y in (2, 3)]
+    assert {r.path.rsplit("/", 1)[1] for r in found} == {"near.las"}
+    assert las.read_las(spark, str(tmp_path), split=7).count() == 200
+    (tmp_path / "bad.las").write_bytes(b"no points")
+    with pytest.raises(Exception, match="not a LAS file"):
+        las.read_headers(spark, str(tmp_path)).collect()
+    assert las.read_las(spark, str(tmp_path), skip=True).count() == 200
+
+
+def test_las_reference_system_behind_the_points(tmp_path):
+    import struct
+
+    raw = bytearray(las.write_las(np.zeros((3, 3)), np.zeros(3, np.int64)))
+    head = bytearray(375)
+    head[:227] = raw[:227]
+    head[25] = 4
+    struct.pack_into("<HI", head, 94, 375, 375)
+    body = raw[227:]
+    struct.pack_into("<QI", head, 235, 375 + len(body), 2)
+    record = lambda n, b: struct.pack("<H16sHQ32s", 0, b"x", n, len(b), b"") + b
+    (tmp_path / "a.las").write_bytes(bytes(head) + body + record(7, b"other") + record(las.WKT_RECORD, b"WKT here\0\0"))
+    with las._open(f"file:{tmp_path}/a.las") as f:
+        assert las._header(f)["crs"] == "WKT here"
+
+
 def test_geojson(spark, tmp_path):
     square = [[0, 0], [0, 10], [10, 10], [10, 0], [0, 0]]
     hole = [[2, 2], [4, 2], [4, 4], [2, 4], [2, 2]]
