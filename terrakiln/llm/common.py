@@ -7,6 +7,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -82,8 +83,9 @@ def release(*frames: DataFrame) -> None:
 
 def sweep(spark: SparkSession) -> None:
     """Shuffle files go when the driver's JVM collects the handles of their stages, which a driver with little to do would
-    not do for long."""
+    not do for long. Python's own handles are let go by a thread that looks for them about once a second."""
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 
