@@ -113,15 +113,18 @@ def unpack_keys(packed: bytes) -> np.ndarray:
     return np.cumsum(unpack(packed, np.uint64), dtype=np.uint64)
 
 
-def sorted_order(keys: np.ndarray) -> np.ndarray:
-    """The order that sorts 64-bit keys: numbers sort many times faster than their order, so the places are sorted along
-    with the keys' high bits, and the few keys that those don't tell apart are put right."""
+def sorted_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts 64-bit keys, and the sorted keys: numbers sort many times faster than their order, so the places
+    are sorted along with the keys' high bits, and the few keys that those don't tell apart are put right."""
     if len(keys) < 2:
-        return np.arange(len(keys))
+        return np.arange(len(keys)), keys
     low = np.uint64(len(keys).bit_length())
     lead = np.uint64(64 - int(keys.max()).bit_length())
     mask = np.uint64((1 << int(low)) - 1)
-    order = (np.sort((keys << lead) & ~mask | np.arange(len(keys), dtype=np.uint64)) & mask).astype(np.int64)
+    led = (keys << lead) & ~mask | np.arange(len(keys), dtype=np.uint64)
+    led.sort()
+    led &= mask
+    order = led.view(np.int64)
     found = keys[order]
     for i in np.flatnonzero(found[1:] < found[:-1]).tolist():
         a = b = i
@@ -131,7 +134,8 @@ def sorted_order(keys: np.ndarray) -> np.ndarray:
         while b < len(found) and found[b] << lead & ~mask == own:
             b += 1
         order[a:b] = order[a:b][np.argsort(keys[order[a:b]], kind="stable")]
-    return order
+        found[a:b] = keys[order[a:b]]
+    return order, found
 
 
 def ranges(keys: np.ndarray, bits: int, shards: int) -> list[tuple[int, int, int]]:

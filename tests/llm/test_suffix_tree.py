@@ -3,8 +3,10 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
+from terrakiln.llm import blocks as B
 from terrakiln.llm import suffix_tree as S
 
 D = S.DISCOUNT
@@ -119,3 +121,61 @@ def test_states_sum_to_one():
     assert {len(s) for s in states} >= {1, 3}
     for s in states[::7]:
         assert sum(b.p(s, w) for w in b.one) + mass(s) == pytest.approx(1)
+
+
+def asked_by_block(rounds, blocks, order):
+    """What blocks ask, round by round, in the exchange of an order, after those before it."""
+    c = S.Corpus(4 * rounds, 45)
+    said = defaultdict(list)
+    for o in range(1, order + 1):
+        now = []
+        for i in range(rounds):
+            own = S.replace(c, rounds=rounds, round=i)
+            f = S._first(own) if o == 1 else S._next(own, o, S.DEPTH)
+            asked = [r for b in blocks for r in (f(b) if o == 1 else f(b, said[b.id]))]
+            now.append(asked)
+            by_shard = defaultdict(list)
+            for r in asked:
+                by_shard[r["shard"]].append(r)
+            for rows in by_shard.values():
+                for r in S._answer(rows):
+                    said[r["block"]].append(r)
+        if o == 1:
+            c = S.replace(c, n=sum(r["total"] for r in said[-1]), v=sum(r["seen"] for r in said[-1]))
+    return now
+
+
+@pytest.fixture(scope="module")
+def blocks():
+    r = random.Random(7)
+    texts = [" ".join(f"w{int(r.paretovariate(0.5)) % 20_000}" for _ in range(200)) for _ in range(400)]
+    made = []
+    for k in range(4):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(k * 100, k * 100 + 100)), "text": texts[k * 100 : k * 100 + 100]})
+        (row,) = [x for out in B._build(S.TOKENS)(iter([batch])) for x in out.to_pylist()]
+        made.append(B.Block(row | {"block": k}))
+    return made
+
+
+def size(rows):
+    return sum(len(v) for r in rows for v in r.values() if isinstance(v, bytes))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_rounds_share_an_exchange(blocks, order):
+    """Each round asks other shards, and all rounds together ask for as much as one would."""
+    (whole,), halves = asked_by_block(1, blocks, order), asked_by_block(2, blocks, order)
+    assert not {r["shard"] for r in halves[0]} & {r["shard"] for r in halves[1]}
+
+    def keys(rows):
+        return Counter({k: sum(len(B.unpack_keys(r["keys"])) for r in rows if r["kind"] == k) for k in {r["kind"] for r in rows}})
+
+    assert keys(halves[0]) + keys(halves[1]) == keys(whole)
+    assert max(map(size, halves)) < 0.65 * size(whole)
+
+
+def test_contexts_travel_by_rank(blocks):
+    """A context takes few bytes: 8 for a word's key and 4 sums of 4 would be 24."""
+    (asked,) = asked_by_block(1, blocks, 2)
+    rows = [r for r in asked if r["kind"] == 3]
+    assert size(rows) < 6 * sum(len(B.unpack_keys(r["keys"])) for r in rows)
