@@ -42,3 +42,8 @@ def test_gaps_end_and_count_every_point(spark, monkeypatch):
     monkeypatch.setattr(V, "points", lambda *_: points)
     radius = {r.pc: r.radius for r in Q.empty_circles(spark, DATA).collect()}
     assert 0.03 < radius["A"] < 0.05 and radius["N"] > 0.4
+
+
+def test_selection_by_gaps_ends(spark):
+    rows = Q.selection_by_gaps(spark, DATA).collect()
+    assert len(rows) == Q.selection(spark, DATA).count()
