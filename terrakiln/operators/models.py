@@ -126,7 +126,7 @@ def ground_height(stats: DataFrame, footprints: DataFrame, points: DataFrame, st
     boxes = wide.select("fid", *[F.floor(F.col(f"{k}{i}") / cell).alias(f"{c}{i}") for k, c in (("x", "c"), ("y", "r")) for i in (0, 1)])
     windows = boxes.select("*", F.explode(F.sequence(F.col("c0") - radius, F.col("c1") + radius)).alias("col")).select("*", F.explode(F.sequence(F.col("r0") - radius, F.col("r1") + radius)).alias("row"))
     away = F.greatest(F.lit(0), F.col("c0") - F.col("col"), F.col("col") - F.col("c1"), F.col("r0") - F.col("row"), F.col("row") - F.col("r1"))
-    near = windows.withColumn("away", away).join(grid, ["col", "row"]).groupBy("fid").agg(F.min(F.struct("away", "z")).alias("near"))
+    near = windows.withColumn("away", away).join(grid.hint("merge"), ["col", "row"]).groupBy("fid").agg(F.min(F.struct("away", "z")).alias("near"))
     lowest = F.lit(points.agg(F.min("z")).first()[0]).cast("long")
     user = F.col("user_ground") if "user_ground" in footprints.columns else F.lit(None).cast("long")
     out = footprints.select("fid", user.alias("user")).join(own, "fid", "left").join(near, "fid", "left")
