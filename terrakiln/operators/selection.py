@@ -42,7 +42,7 @@ def _paired(frame: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def mutation(cells: DataFrame, mask: DataFrame, pairs: list[tuple[str, str]], change: int = HEIGHT_CHANGE, share: float = CHANGED_SHARE) -> DataFrame:
     """fid, pc, pc_next, n_changed, mutated: cells that have data in both acquisitions and whose top moved by over
     change, against all cells of the footprint."""
-    tops = cells.join(mask, ["fid", "col", "row"]).select("fid", "col", "row", "pc", "z_max")
+    tops = cells.join(mask.hint("merge"), ["fid", "col", "row"]).select("fid", "col", "row", "pc", "z_max")
     later = tops.select("fid", "col", "row", F.col("pc").alias("pc_next"), F.col("z_max").alias("z_next"))
     both = _paired(tops.withColumnRenamed("pc", "_pc"), pairs).where("_pc = pc").join(later, ["fid", "col", "row", "pc_next"])
     changed = both.groupBy("fid", "pc", "pc_next").agg(F.count_if(F.abs(F.col("z_next") - F.col("z_max")) > change).alias("n_changed"))
