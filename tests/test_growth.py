@@ -10,7 +10,7 @@ from terrakiln.plans import views as V
 
 DATA = "/root/testdata/sf0.001"
 #: Queries whose footprints, cells or windows of footprints were broadcast.
-BROADCAST = ["building_stats", "nodata_filled", "block_models", "reconstruction", "routing", "status_counts", "ground_height", "attributes", "mutations", "ground_user", "roof_planes", "selection"]
+BROADCAST = ["building_stats", "nodata_filled", "block_models", "reconstruction", "routing", "status_counts", "ground_height", "attributes", "mutations", "ground_user", "roof_planes", "selection", "year_override"]
 
 
 def broadcast_of_exploded(plan: str) -> list[str]:
