@@ -44,3 +44,13 @@ def test_crop_tests_each_point_once(spark):
     assert plan.count("aggregate(edges") == 1 and not any("aggregate(" in line for line in plan.splitlines() if "Join" in line or "Filter" in line)
     points = plan[: plan.index("lineitem.parquet")].splitlines()[-3:]
     assert not any("CASE WHEN" in line for line in points if "Filter" in line or "FileScan" in line)
+
+
+#: Queries over the crop whose time was that of the test of points.
+ONCE = ["z98"]
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_query_tests_each_point_once(spark, name):
+    plan = Q.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("aggregate(edges") == 1 and "BroadcastExchange" not in plan
