@@ -158,7 +158,7 @@ def distances(points: DataFrame, planes: DataFrame) -> DataFrame:
     own = planes.groupBy("fid").agg(F.collect_list(F.struct("face", "a", "b", "c", "d")).alias("planes"))
     off = lambda q: F.round(F.abs(q["a"] * p("x") + q["b"] * p("y") + q["c"] * p("z") + q["d"]), 6)
     nearest = F.array_min(F.transform("planes", lambda q: F.struct(off(q).alias("off"), q["face"].alias("face"), G.plane_height(q["a"], q["b"], q["c"], q["d"], p("x"), p("y")).alias("height"))))
-    return points.join(own, "fid").withColumn("_n", nearest).select(*points.columns, "_n.face", "_n.off", "_n.height")
+    return points.join(own.hint("shuffle_hash"), "fid").withColumn("_n", nearest).select(*points.columns, "_n.face", "_n.off", "_n.height")
 
 
 def rmse(off: DataFrame, *keys: str) -> DataFrame:

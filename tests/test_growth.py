@@ -47,7 +47,7 @@ def test_crop_tests_each_point_once(spark):
 
 
 #: Queries over the crop whose time was that of the test of points.
-ONCE = ["z98", "cell_bands", "crop_counts", "thinned"]
+ONCE = ["z98", "cell_bands", "crop_counts", "thinned", "roof_rmse"]
 
 
 @pytest.mark.parametrize("name", ONCE)
