@@ -35,10 +35,10 @@ def test_empty_circle_in_parts(monkeypatch):
 
 def test_gaps_end_and_count_every_point(spark, monkeypatch):
     ring = [[(x, y) for x, y in ((0, 0), (100, 0), (100, 100), (0, 100))]]
-    own = spark.createDataFrame([(1, ring)], "fid long, rings array<array<struct<x: long, y: long>>>")
+    own = lambda: spark.createDataFrame([(1, ring)], "fid long, rings array<array<struct<x: long, y: long>>>")
     rows = [("A", x, y, 500, 6, 2020) for x in range(2, 100, 5) for y in range(2, 100, 5)]
     points = spark.createDataFrame(rows, "pc string, x long, y long, z long, cls int, yr int")
-    monkeypatch.setattr(V, "footprint", lambda *_: own.withColumn("ring", F.get("rings", F.lit(0))))
+    monkeypatch.setattr(V, "footprint", lambda *_: own().withColumn("ring", F.get("rings", F.lit(0))))
     monkeypatch.setattr(V, "points", lambda *_: points)
     radius = {r.pc: r.radius for r in Q.empty_circles(spark, DATA).collect()}
     assert 0.03 < radius["A"] < 0.05 and radius["N"] > 0.4
